@@ -27,6 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def shared_uri(spark: SparkSession) -> str:
+    """shared_dir() as a URI, which file systems are found by."""
+    base = shared_dir(spark)
+    if base.startswith("file:/") and not base.startswith("file://"):
+        return "file://" + base[5:]
+    return base if "://" in base else "file://" + base
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as a table in the shared folder and read back: its lineage is cut and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -1,38 +1,41 @@
 """Substring dedup: Rabin-Karp hashes of every fixed-length word window, repeated windows merged into removal intervals.
 
-Plan, in three steps over all windows of all documents:
+Plan, over all windows of all documents:
 
 1. Each input partition is cut into blocks of about BLOCK_WORDS words. A block hashes all its windows with a rolling
-   polynomial over 64-bit word hashes and settles by itself which windows repeat one of a smaller document of the
-   block. For the rest it sends each distinct hash once, with the smallest document id that has it, packed with
-   delta coding into one binary row per hash bucket. So a passage that a third of all documents share arrives at its
-   reducer once per block and not once per document.
-2. A bucket's reducer finds the smallest document id of each hash over all blocks and answers with the stream
-   positions of the windows that start in a smaller document elsewhere.
-3. The answers meet the block's manifest (its documents and a bitmap of what it settled), which becomes one row of
-   removal intervals per document, joined to the documents.
-
-Answers refer to a block by a digest of its documents in their order. So a task that runs again after an executor is
-lost must see its rows in the same order, which a scan of files gives; write a shuffled input to a table first.
+   polynomial over 64-bit word hashes and sends each distinct hash once, with the smallest document id that has it in
+   the block, packed with delta coding into one binary row per hash bucket. So a passage that a third of all documents
+   share arrives at its reducer once per block and not once per document.
+2. A bucket's reducer finds the smallest document id of each hash over all blocks and answers each block with one bit
+   per hash sent: does it also start in a smaller document elsewhere? A block's answers become one small file in the
+   shared folder.
+3. The blocks are formed again. A window goes if the block itself has a smaller document with it, or if the answer says
+   so of the block's smallest. Removed windows merge into maximal intervals, and the other words stay.
+
+Texts are never shuffled. Step 3 needs the blocks of step 1 again: a scan of files gives them; any other input is first
+written to a table (repeatable=False). Blocks are named by a digest of their documents in order, so that blocks which
+differ would be missed with an error and not answered wrongly.
 
 Equality is that of 64-bit hashes of whole windows: among n distinct windows some two collide with a probability of
 about n * n / 2**65.
 
 Defined results: a null text has no words; a text shorter than a window loses nothing; rows that share a doc_id are
 no smaller than one another, so neither makes the other lose words; a null doc_id counts as larger than every other;
-extra columns are ignored.
+extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, partitions, slices
+from .common import WORD, partitions, shared_uri, slices, written
 
 WINDOW = 13
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 1_500_000
 CACHE_WORDS = 500_000
 BASE, MIX = 0x9E3779B97F4A7C15 | 1, 0xBF58476D1CE4E5B9
 NULL_ID = 2**63 - 1
@@ -86,183 +89,185 @@ def window_hashes(words, length: int):
     return h
 
 
-def _blocks(buckets: int, length: int, block_words: int):
-    """Step 1: rows (kind, part, block, payload); kind 0 is a manifest, kind 1 the hashes for bucket `part`."""
-
-    def close(ids, digests, counts, hashes):
-        import numpy as np
-        import xxhash
+def _blocks(block_words: int):
+    """A function that cuts Arrow batches (doc_id, text, digest of the text) into blocks: (doc_ids, ids, digests, rows of word hashes, texts if asked for)."""
 
-        block = xxhash.xxh3_128_digest(np.array([ids, digests], "i8").tobytes())  # the same whenever the task runs again
-        ids, counts = np.array(ids, "i8"), np.array(counts, "i8")
-        starts = np.concatenate([[0], np.cumsum(counts)])
-        windows = np.maximum(counts - length + 1, 0)
-        first = np.concatenate([[0], np.cumsum(windows)])  # where each document's windows begin in the stream
-        words = np.concatenate(hashes) if hashes else np.zeros(0, "u8")
-        h = np.concatenate([window_hashes(words[a:b], length) for a, b in zip(starts[:-1], starts[1:])] or [np.zeros(0, "u8")])
-        doc = np.repeat(ids, windows)
-        settled = np.zeros(len(h), bool)
-        rows = []
-        links = np.zeros((0, 2), "u4")
-        if len(h):
-            by_doc = np.argsort(doc, kind="stable")  # the smallest document of a hash comes first after the next, stable, sort
-            order = by_doc[np.argsort(h[by_doc], kind="stable")]
-            hs, ds = h[order], doc[order]
-            new = np.concatenate([[True], hs[1:] != hs[:-1]])
-            head = np.maximum.accumulate(np.where(new, np.arange(len(hs)), 0))
-            smaller = ds[head] < ds
-            settled[order[smaller]] = True
-            same = ~smaller & ~new
-            links = np.stack([order[same], order[head[same]]], 1).astype("u4")  # further windows of the smallest document: what the first gets they get
-            at, keys = order[new], hs[new]
-            part = keys % np.uint64(buckets)
-            where = np.argsort(part, kind="stable")  # ascending hashes within each bucket
-            cuts = np.searchsorted(part[where], np.arange(buckets + 1, dtype="u8"))
-            owners, owner = np.unique(doc[at], return_inverse=True)
-            for p in range(buckets):
-                x = where[cuts[p] : cuts[p + 1]]
-                if len(x):
-                    packed = _pack(keys[x])
-                    local, inv = np.unique(owner[x], return_inverse=True)
-                    wide = "<u2" if len(local) <= 65536 else "<u4"
-                    rows.append((1, p, block, b"".join([len(packed).to_bytes(4, "little"), packed, len(local).to_bytes(4, "little"), owners[local].astype("<i8").tobytes(), inv.astype(wide).tobytes(), at[x].astype("<u4").tobytes()])))
-        manifest = b"".join([len(ids).to_bytes(4, "little"), ids.astype("<i8").tobytes(), np.array(digests, "<i8").tobytes(), windows.astype("<u4").tobytes(), len(links).to_bytes(4, "little"), links.astype("<u4").tobytes(), np.packbits(settled).tobytes()])
-        rows.append((0, block[0] % buckets, block, manifest))
-        kind, p, b, payload = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(p, pa.int32()), pa.array(b, pa.binary()), pa.array(payload, pa.binary())], ["kind", "part", "block", "payload"])
-
-    def run(batches):
+    def cut(batches, keep: bool):
         import re
 
         import numpy as np
         import xxhash
 
-        split, known = re.compile(WORD).findall, {}
-        digest = xxhash.xxh64_intdigest
+        split, known, digest = re.compile(WORD).findall, {}, xxhash.xxh64_intdigest
 
         def word(w):
             if len(known) >= CACHE_WORDS:
                 known.clear()
             return known.setdefault(w, digest(w.encode("utf-8", "surrogatepass")))
 
-        ids, digests, counts, hashes, total = [], [], [], [], 0
+        get, block, total = known.get, ([], [], [], [], []), 0
         for whole in batches:
             for b in slices(whole, 1):
-                for i, key, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(1).to_pylist()):
-                    get = known.get
+                for i, text, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                     row = np.array([get(w) or word(w) for w in split(text or "")], "u8")
-                    ids.append(NULL_ID if i is None else i)
-                    digests.append(key)
-                    counts.append(len(row))
-                    hashes.append(row)
+                    for part, x in zip(block, (i, NULL_ID if i is None else i, key, row, text)):
+                        part.append(x if keep or x is not text else None)
                     total += len(row)
                     if total >= block_words:
-                        yield close(ids, digests, counts, hashes)
-                        ids, digests, counts, hashes, total = [], [], [], [], 0
-        if ids:
-            yield close(ids, digests, counts, hashes)
+                        yield block
+                        block, total = ([], [], [], [], []), 0
+        if block[0]:
+            yield block
 
-    return run
+    return cut
+
+
+class _Windows:
+    """A block's windows: which repeat one of a smaller document of the block, and the distinct ones by bucket."""
+
+    def __init__(self, ids, digests, rows, length: int, buckets: int):
+        import numpy as np
+        import xxhash
+
+        self.name = xxhash.xxh3_128_hexdigest(np.array([ids, digests], "i8").tobytes())
+        ids = np.array(ids, "i8")
+        hashes = [window_hashes(r, length) for r in rows]
+        self.count = np.array([len(h) for h in hashes], "i8")
+        h = np.concatenate(hashes)
+        doc = np.repeat(np.arange(len(ids)), self.count)
+        rank = np.argsort(ids, kind="stable")  # documents from the smallest id
+        place = np.empty(len(ids), "i8")
+        place[rank] = np.arange(len(ids))
+        by_doc = np.argsort(place[doc], kind="stable") if (np.diff(ids) < 0).any() else np.arange(len(h))
+        order = by_doc[np.argsort(h[by_doc], kind="stable")]  # equal hashes from the smallest document
+        hs, ds = h[order], ids[doc[order]]
+        new = np.concatenate([[True], hs[1:] != hs[:-1]]) if len(h) else np.zeros(0, bool)
+        group = np.cumsum(new) - 1
+        heads = np.flatnonzero(new)
+        self.settled = np.zeros(len(h), bool)
+        self.settled[order[ds[heads][group] < ds]] = True
+        self.entry = np.empty(len(h), "i4")  # of each window, its place among the distinct hashes
+        self.entry[order] = group
+        self.keys, self.owner = hs[heads], ds[heads]
+        part = (self.keys % np.uint64(buckets)).astype("i4")
+        self.where = np.argsort(part, kind="stable")  # distinct hashes by bucket, ascending within
+        self.cuts = np.searchsorted(part[self.where], np.arange(buckets + 1))
+
+    def payload(self, p: int, buckets: int) -> bytes:
+        import numpy as np
+
+        x = self.where[self.cuts[p] : self.cuts[p + 1]]
+        packed = _pack(self.keys[x] // np.uint64(buckets))
+        own, inv = np.unique(self.owner[x], return_inverse=True)
+        wide = "<u1" if len(own) <= 256 else "<u2" if len(own) <= 65536 else "<u4"
+        return b"".join([len(packed).to_bytes(4, "little"), packed, len(own).to_bytes(4, "little"), own.astype("<i8").tobytes(), inv.astype(wide).tobytes()])
+
+    def flags(self, answer: bytes):
+        """Of each window, whether it goes; answer: a bit per distinct hash, in the order sent."""
+        import numpy as np
+
+        bits = np.empty(len(self.keys), bool)
+        bits[self.where] = np.unpackbits(np.frombuffer(answer, "u1"), count=len(self.keys)).astype(bool)
+        return self.settled | bits[self.entry]
 
 
 def _answer(pdf):
-    """Step 2, for one bucket: per block, the stream positions whose hash has a smaller document in another block; manifests pass."""
+    """Step 2, for one bucket: per block a bit for each hash, whether another block has it in a smaller document."""
     import numpy as np
     import pandas as pd
 
-    passed = pdf.loc[pdf["kind"] == 0, ["kind", "block", "payload"]]
-    pdf = pdf[pdf["kind"] == 1]
-    if pdf.empty:
-        return passed
-    keys, owners, ats, blocks, sizes = [], [], [], [], []
-    for block, payload in zip(pdf["block"], pdf["payload"]):
+    keys, owners, sizes = [], [], []
+    for payload in pdf["payload"]:
         k = int.from_bytes(payload[:4], "little")
         h = _unpack(payload[4 : 4 + k])
         m = int.from_bytes(payload[4 + k : 8 + k], "little")
         own = np.frombuffer(payload, "<i8", m, 8 + k)
-        pos, wide = 8 + k + 8 * m, ("<u2" if m <= 65536 else "<u4")
-        inv = np.frombuffer(payload, wide, len(h), pos)
-        ats.append(np.frombuffer(payload, "<u4", len(h), pos + inv.nbytes))
+        owners.append(own[np.frombuffer(payload, "<u1" if m <= 256 else "<u2" if m <= 65536 else "<u4", len(h), 8 + k + 8 * m)])
         keys.append(h)
-        owners.append(own[inv])
-        blocks.append(block)
         sizes.append(len(h))
-    h, doc, n = np.concatenate(keys), np.concatenate(owners), np.array(sizes)
+    h, doc = np.concatenate(keys), np.concatenate(owners)
     order = np.argsort(h, kind="stable")
     hs, ds = h[order], doc[order]
     starts = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]]))
     least = np.repeat(np.minimum.reduceat(ds, starts), np.diff(np.append(starts, len(hs))))
     flag = np.zeros(len(h), bool)
     flag[order[least < ds]] = True
-    ends = np.cumsum(n)
-    found = pd.DataFrame({"kind": 1, "block": blocks, "payload": [_pack(np.sort(at[flag[e - k : e]]).astype("u8")) for at, k, e in zip(ats, n, ends)]})
-    return pd.concat([found, passed])
+    ends = np.cumsum(sizes)
+    return pd.DataFrame({"part": pdf["part"].to_numpy(), "block": pdf["block"].to_numpy(), "n": sizes, "bits": [np.packbits(flag[e - k : e]).tobytes() for e, k in zip(ends, sizes)]})
 
 
-def _intervals(length: int):
-    """Step 3, for one block: rows (id, digest, spans), spans the maximal removal intervals as pairs of word positions."""
+def _file(folder: str):
+    """Write one block's answers, in the order of buckets, to the shared folder."""
 
     def run(key, pdf):
         import numpy as np
         import pandas as pd
-
-        manifest = pdf.loc[pdf["kind"] == 0, "payload"].iloc[0]
-        n = int.from_bytes(manifest[:4], "little")
-        ids, digests, windows = np.frombuffer(manifest, "<i8", n, 4), np.frombuffer(manifest, "<i8", n, 4 + 8 * n), np.frombuffer(manifest, "<u4", n, 4 + 16 * n).astype("i8")
-        m = int.from_bytes(manifest[4 + 20 * n : 8 + 20 * n], "little")
-        links = np.frombuffer(manifest, "<u4", 2 * m, 8 + 20 * n).reshape(-1, 2)
-        flag = np.unpackbits(np.frombuffer(manifest, "u1", -1, 8 + 20 * n + 8 * m), count=int(windows.sum())).astype(bool)
-        for payload in pdf.loc[pdf["kind"] == 1, "payload"]:
-            flag[_unpack(payload).astype("i8")] = True
-        if m:
-            flag[links[:, 0]] = flag[links[:, 1]]
-        ends = np.cumsum(windows)
-        out = []
-        for i in np.flatnonzero(windows):
-            f = flag[ends[i] - windows[i] : ends[i]]
-            at = np.flatnonzero(f)
-            if len(at):
-                gap = np.flatnonzero(np.diff(at) > length)
-                begin, end = at[np.concatenate([[0], gap + 1])], at[np.concatenate([gap, [len(at) - 1]])] + length
-                out.append((ids[i], digests[i], np.stack([begin, end], 1).astype("<i4").tobytes()))
-        return pd.DataFrame(out, columns=["id", "digest", "spans"])
+        from pyarrow import fs
+
+        pdf = pdf.sort_values("part")
+        bits = np.concatenate([np.unpackbits(np.frombuffer(b, "u1"), count=n) for b, n in zip(pdf["bits"], pdf["n"])])
+        system, base = fs.FileSystem.from_uri(folder)
+        system.create_dir(base, recursive=True)
+        own = f"{base}/{key[0]}.{uuid.uuid4().hex}"
+        with system.open_output_stream(own) as out:
+            out.write(np.packbits(bits).tobytes())
+        system.move(own, f"{base}/{key[0]}")
+        return pd.DataFrame({"n": [len(bits)]})
 
     return run
 
 
-def removal_spans(docs: DataFrame, length: int = WINDOW, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, digest, spans): for each document that loses words, its maximal removal intervals of word positions, begin
-    included and end excluded, as little-endian 32-bit pairs. digest is xxhash64 of the text: with id it names a text."""
-    n = partitions(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest"))
-    sent = rows.mapInArrow(_blocks(n, length, block_words), "kind int, part int, block binary, payload binary")
-    both = sent.groupBy("part").applyInPandas(_answer, "kind int, block binary, payload binary")
-    return both.groupBy("block").applyInPandas(_intervals(length), "id long, digest long, spans binary").dropDuplicates(["id", "digest"])
-
-
-def dedup(docs: DataFrame, length: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed and kept, the text of the words that stay, joined by one space."""
-    spans = removal_spans(docs, length, block_words)
-    texts = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("digest"))
+def spans(flag, length: int):
+    """The maximal removal intervals (begin, end) of a document's windows."""
+    import numpy as np
 
-    def run(batches):
+    at = np.flatnonzero(flag)
+    if not len(at):
+        return []
+    gap = np.flatnonzero(np.diff(at) > length)
+    begin, end = at[np.concatenate([[0], gap + 1])], at[np.concatenate([gap, [len(at) - 1]])] + length
+    return list(zip(begin.tolist(), end.tolist()))
+
+
+def dedup(docs: DataFrame, length: int = WINDOW, block_words: int = BLOCK_WORDS, repeatable: bool = False) -> DataFrame:
+    """Per document: doc_id, n_words, n_removed, spans (the removal intervals of word positions, flat) and kept, the words
+    that stay, joined by one space. repeatable: docs is a scan of files, which gives the same rows in the same order again."""
+    spark = docs.sparkSession
+    buckets, folder = partitions(spark), f"{shared_uri(spark)}/answers-{uuid.uuid4().hex}"
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("digest"))
+    rows = rows if repeatable else written(rows, "texts")
+    cut = _blocks(block_words)
+
+    def send(batches):
+        for _, ids, digests, words, _ in cut(batches, False):
+            w = _Windows(ids, digests, words, length, buckets)
+            full = [p for p in range(buckets) if w.cuts[p] < w.cuts[p + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([w.name] * len(full), pa.string()), pa.array([w.payload(p, buckets) for p in full], pa.binary())], ["part", "block", "payload"])
+
+    def finish(batches):
         import re
 
-        import numpy as np
-
-        split = re.compile(WORD).findall
-        for whole in batches:
-            for b in slices(whole, 1):
-                n, gone, kept = [], [], []
-                for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                    words, removed = split(text or ""), 0
-                    n.append(len(words))
-                    for begin, end in reversed(np.frombuffer(spans or b"", "<i4").reshape(-1, 2).tolist()):
-                        del words[begin:end]
-                        removed += end - begin
-                    gone.append(removed)
-                    kept.append(" ".join(words))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
-
-    joined = texts.join(spans, ["id", "digest"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept string")
+        from pyarrow import fs
+
+        split, (system, base) = re.compile(WORD).findall, fs.FileSystem.from_uri(folder)
+        for doc_ids, ids, digests, words, texts in cut(batches, True):
+            w = _Windows(ids, digests, words, length, buckets)
+            answer = b""
+            if len(w.keys):
+                with system.open_input_file(f"{base}/{w.name}") as f:
+                    answer = f.read()
+            flag, at, out = w.flags(answer), 0, ([], [], [], [])
+            for text, row, n in zip(texts, words, w.count.tolist()):
+                gone = spans(flag[at : at + n], length)
+                at += n
+                kept = split(text or "")
+                for begin, end in reversed(gone):
+                    del kept[begin:end]
+                for part, x in zip(out, (len(row), len(row) - len(kept), [p for s in gone for p in s], " ".join(kept))):
+                    part.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int32())), pa.array(out[3], pa.string())], ["doc_id", "n_words", "n_removed", "spans", "kept"])
+
+    sent = rows.mapInArrow(send, "part int, block string, payload binary")
+    answers = sent.groupBy("part").applyInPandas(_answer, "part int, block string, n long, bits binary")
+    answers.groupBy("block").applyInPandas(_file(folder), "n long").agg(F.sum("n")).collect()
+    return rows.mapInArrow(finish, "doc_id long, n_words long, n_removed long, spans array<int>, kept string")
