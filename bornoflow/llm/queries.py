@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_topk, line_dedup, mixing, multi_index, quality, simhash, substring_dedup, token_store
+from . import byte_bpe, exact_topk, line_dedup, mixing, multi_index, pitman_yor, quality, simhash, substring_dedup, token_store
 from .common import read
 
 
@@ -45,6 +45,10 @@ def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(read(spark, sf_dir, "documents"), repeatable=True)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(read(spark, sf_dir, "documents"), repeatable=True).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -58,7 +62,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_quality, op2_line_dedup, op3_token_store, op4_exact_topk, op5_byte_bpe, op6_mixing, op7_multi_index, op9_substring_dedup, op10_simhash]
+    found = [op1_quality, op2_line_dedup, op3_token_store, op4_exact_topk, op5_byte_bpe, op6_mixing, op7_multi_index, op8_pitman_yor, op9_substring_dedup, op10_simhash]
     return {f.__name__: f for f in found} | {"pipeline": pipeline}
 
 

@@ -1,12 +1,70 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and read again."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and read again as the next one's docs."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from bornoflow.llm import byte_bpe, line_dedup, mixing, quality, simhash
+from bornoflow.llm.common import read, shared_dir
 
-STAGES: list = []
+#: SQL can't express the learned classifier, SimHash or BPE; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts, unchanged."""
+    return quality.accepted(docs, read(spark, sf_dir, "labels"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier one repeats; a document that had words and keeps none goes."""
+    word = r"[^\x20\x09-\x0D]"
+    out = line_dedup.dedup(docs)
+    return out.where((F.col("n_removed") == 0) | F.col("text").rlike(word)).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of near duplicates; documents without id stay."""
+    chosen = simhash.near_duplicates(docs).select(F.col("component_id").alias("doc_id")).where("doc_id is not null").distinct()
+    kept = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; rows of equal id and text count as one taken more often."""
+    copies = F.sum(F.col("epochs") + (F.col("part") > 0).cast("long")).alias("_copies")
+    taken = mixing.mix(docs, boundary="whole").groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(copies).where("_copies > 0")
+    named = docs.withColumn("_md5", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).dropDuplicates(["doc_id", "_md5"])
+    joined = named.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_md5") == F.col("_digest")))
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_n")).select(docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of each text: their number, and the little-endian 32-bit ids in base64."""
+    import public_tokenizers
+
+    out = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select(F.col("id").alias("doc_id"), "n_tokens", F.base64("ids").alias("ids_base64"))
+
+
+STAGES = [
+    ("quality", classify),
+    ("lines", dedup_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("mix", mix_sources),
+    ("tokens", tokenize),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = read(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs.write.parquet(f"{folder}/{k}-{name}")
+            docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    return docs
