@@ -1 +1 @@
-"""See the package README section for this folder."""
+"""Queries put together from operators."""
