@@ -11,7 +11,8 @@ Plan:
    keyed by its halves (for its own length and for one word less); lines that share no half with another distinct line
    have no neighbour, exactly, and leave.
 3. The others emit their deletion neighbourhood: the hash of the line and of the line less each one of its words. Such
-   hashes combine those of (word, place) by exclusive or, so running ones from both ends give all in linear time. Lines
+   hashes combine those of (word, place) by exclusive or, so running ones from both ends give all in linear time.
+   Variants of one line alone leave. Lines
    that share a variant with the same word left out differ in that word at most, so the first of them stands for all
    in one combining aggregation and no pairs within a group arise. A line equal to another less one word is found by
    joining the lines' own hashes, which are distinct, to the variants.
@@ -40,7 +41,7 @@ def line_words(line: Column) -> Column:
 
 
 def _hash(words: Column) -> Column:
-    return F.xxhash64(F.array_join(words, " "))
+    return F.xxhash64(words)  # of an array: each word's hash is the seed of the next one's
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -58,11 +59,11 @@ def first_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         half = F.floor(m / 2).cast("int")
         keys += [F.xxhash64(m, F.lit(0), _hash(F.slice("w", F.lit(1), half))), F.xxhash64(m, F.lit(1), _hash(F.slice("w", size - m + half + 1, m - half)))]
     halves = F.when(size >= min_words, F.array(*keys))
-    h = w.select(F.struct("d", "t", "n").alias("at"), _hash(F.col("w")).alias("h"), F.hash(F.array_join("w", " ")).alias("h2"), halves.alias("halves"))
+    h = w.select(F.struct("d", "t", "n").alias("at"), _hash(F.col("w")).alias("h"), F.hash("w").alias("h2"), halves.alias("halves"))
     distinct = written(h.groupBy("h", "h2").agg(F.min("at").alias("at"), F.min("halves").alias("halves")), "lines")
     # the halves of a line are functions of its words, so the smallest is any
     keyed = distinct.where("halves is not null").select("h", F.explode(F.array_distinct("halves")).alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
+    shared = keyed.groupBy("key").count().where("count > 1").select("key")  # a line has each of its keys once
     left = written(distinct.join(keyed.join(shared, "key", "left_semi").select("h").distinct(), "h", "left_semi").select(F.col("at.d").alias("d"), F.col("at.t").alias("t"), F.col("at.n").alias("n"), "h"), "candidates")
     small = left.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     texts = lines.join(F.broadcast(left) if small else left, ["d", "t", "n"]).select(F.struct("d", "t", "n").alias("at"), "h", line_words(F.col("line")).alias("w"))
@@ -74,12 +75,18 @@ def first_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def _near(lines: DataFrame) -> DataFrame:
     """(h) of those distinct lines (at, h, w) that an earlier one is one word's edit away from."""
-    words = lines.select("at", "h", F.posexplode("w").alias("i", "word"))
+    words = lines.select("h", F.posexplode("w").alias("i", "word"))
     line = Window.partitionBy("h")
     before = F.coalesce(F.bit_xor(F.xxhash64("word", "i")).over(line.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     after = F.coalesce(F.bit_xor(F.xxhash64("word", F.col("i") - 1)).over(line.orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    variants = words.select("at", "h", "i", before.bitwiseXOR(after).alias("v"))
-    own = words.groupBy("h").agg(F.min("at").alias("at2"), F.bit_xor(F.xxhash64("word", "i")).alias("v")).withColumnRenamed("h", "h2")
+    variants = words.select("h", "i", before.bitwiseXOR(after).alias("v"))
+    whole = F.aggregate(F.transform("w", lambda x, i: F.xxhash64(x, i)), F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
+    every = variants.unionByName(lines.select("h", F.lit(-1).alias("i"), whole.alias("v")))
+    # a line has equal variants only where it repeats a word: counted once
+    met = every.groupBy("v").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("v")
+    shared = written(every.join(met, "v", "left_semi").join(lines.select("h", "at"), "h"), "variants")
+    own = shared.where("i = -1").select(F.col("at").alias("at2"), F.col("h").alias("h2"), "v")
+    variants = shared.where("i >= 0")
     # replaced words: the same word left out gives the same variant
     first = variants.groupBy("v", "i").agg(F.min("at").alias("at2"), F.min_by("h", "at").alias("h2"), F.count("*").alias("c")).where("c > 1").drop("c")
     replaced = variants.join(first, ["v", "i"]).where(F.col("at2") < F.col("at")).select("h", "h2", F.lit(-1).alias("i"))
