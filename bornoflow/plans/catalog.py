@@ -150,7 +150,7 @@ def symbol_map(spark, sf_dir):
 
 
 TAGS = r"regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g')"
-DECODED = rf"replace(regexp_replace(replace(replace(replace(replace(replace(replace({TAGS}, '&amp;', chr(2)), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&[A-Za-z][A-Za-z0-9]*;', ' ', 'g'), chr(2), '&')"
+DECODED = rf"replace(regexp_replace(replace(replace(replace(replace(replace(replace({TAGS}, '&amp;', chr(2)), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&apos;', ''''), '&[A-Za-z][A-Za-z0-9]*;', ' ', 'g'), chr(2), '&')"
 
 
 @query(f"SELECT page_id, md5({DECODED}) AS digest, CAST(length({DECODED}) AS INTEGER) AS chars FROM pages")
