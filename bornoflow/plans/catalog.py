@@ -358,7 +358,7 @@ def S_KN(k: int, modified: bool) -> str:
     low = P1 if k == 2 else f"p{k - 1}"
     on = " AND ".join([f"w.c{i + 1} = l.c{i}" for i in range(1, k - 1)] + ["w.token_id = l.token_id"])
     mass = "d1 * s + d2 * b + d3 * h" if modified else "0.75 * n"
-    off = "CASE WHEN count = 1 THEN d1 WHEN count = 2 THEN d2 ELSE d3 END" if modified else "0.75"
+    off = "CASE WHEN w.count = 1 THEN d1 WHEN w.count = 2 THEN d2 ELSE d3 END" if modified else "0.75"
     return (f"{S_DISC(k)}, " if modified else "") + f"""w{k} AS (SELECT *, sum(count) OVER v AS total, count(*) OVER v AS n, count(*) FILTER (count = 1) OVER v AS s, count(*) FILTER (count = 2) OVER v AS b, count(*) FILTER (count >= 3) OVER v AS h FROM n{k} WINDOW v AS (PARTITION BY {ctx})),
 p{k} AS (SELECT {", ".join(f"w.c{i}" for i in range(1, k))}, w.token_id, w.count, greatest(w.count - {off}, 0)::DOUBLE / total + ({mass})::DOUBLE / total * coalesce(l.p, 0) AS p FROM w{k} w {f"CROSS JOIN disc{k}" if modified else ""} LEFT JOIN {low} l ON {on})"""
 
