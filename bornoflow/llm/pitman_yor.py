@@ -33,9 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, partitions, shared_uri, slices, written
+from .common import WORD, discard, partitions, shared_uri, slices, written
+from .substring_dedup import _pack, _unpack as _unpack_hashes
 
-BLOCK_WORDS = 1_500_000
+BLOCK_WORDS = 750_000
 COARSE, FINE = 64, 1024  #: context classes by the last character, and by the last two
 BURN_IN, SAMPLES, DRAWS, SMALL, STEADY, STRENGTH = 2, 2, 4, 16, 32, 1.0
 END = " end"  #: no word: words hold no space
@@ -90,33 +91,50 @@ class Block:
         self.cuts = np.searchsorted(self.hash % np.uint64(buckets), np.arange(buckets + 1, dtype="u8"))
         self.pair_cuts = np.searchsorted(self.word, self.cuts)
 
-    def payload(self, p: int) -> bytes:
+    def payload(self, p: int, counted: bool) -> bytes:
         import numpy as np
 
         a, b, c, d = self.cuts[p], self.cuts[p + 1], self.pair_cuts[p], self.pair_cuts[p + 1]
-        per_word = np.bincount(self.word[c:d] - a, minlength=b - a).astype("<u2")
-        n = self.count[c:d]
-        wide = "<u1" if n.max(initial=0) < 256 else "<u4"
-        return b"".join([bytes([int(wide[-1])]), int(b - a).to_bytes(4, "little"), self.hash[a:b].astype("<u8").tobytes(), per_word.tobytes(), self.context[c:d].astype("<u2").tobytes(), n.astype(wide).tobytes()])
+        h = _pack(self.hash[a:b])
+        per_word = np.bincount(self.word[c:d] - a, minlength=b - a)
+        parts = [(b - a).astype("<u4").tobytes(), len(h).to_bytes(4, "little"), h, _small(per_word), self.context[c:d].astype("<u2").tobytes()]
+        return b"".join([*parts, _small(self.count[c:d])] if counted else parts)
 
 
-def _unpack(data: bytes):
-    """(hashes, word index of each pair, contexts, counts)"""
+def _small(x) -> bytes:
+    """Counts that are mostly small: bytes, with those of 255 and more listed apart."""
     import numpy as np
 
-    wide, n = data[0], int.from_bytes(data[1:5], "little")
-    h = np.frombuffer(data, "<u8", n, 5)
-    per_word = np.frombuffer(data, "<u2", n, 5 + 8 * n).astype("i8")
+    big = np.flatnonzero(x >= 255)
+    return b"".join([len(big).to_bytes(4, "little"), big.astype("<u4").tobytes(), x[big].astype("<u8").tobytes(), np.minimum(x, 255).astype("u1").tobytes()])
+
+
+def _big(data: bytes, n: int, at: int):
+    """(the n counts of _small() at a place, the place after them)"""
+    import numpy as np
+
+    k = int.from_bytes(data[at : at + 4], "little")
+    x = np.frombuffer(data, "u1", n, at + 4 + 12 * k).astype("i8")
+    x[np.frombuffer(data, "<u4", k, at + 4)] = np.frombuffer(data, "<u8", k, at + 4 + 4 * k).astype("i8")
+    return x, at + 4 + 12 * k + n
+
+
+def _unpack(data: bytes, counted: bool):
+    """(hashes, word index of each pair, contexts, counts or None)"""
+    import numpy as np
+
+    n, size = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:8], "little")
+    h = _unpack_hashes(data[8 : 8 + size])
+    per_word, at = _big(data, n, 8 + size)
     m = int(per_word.sum())
-    at = 5 + 10 * n
-    return h, np.repeat(np.arange(n), per_word), np.frombuffer(data, "<u2", m, at), np.frombuffer(data, f"<u{wide}", m, at + 2 * m).astype("i8")
+    return h, np.repeat(np.arange(n), per_word), np.frombuffer(data, "<u2", m, at), _big(data, m, at + 2 * m)[0] if counted else None
 
 
 def merge(payloads):
     """The state of one bucket: words ascending, pairs by word and context with training counts above zero."""
     import numpy as np
 
-    parts = [_unpack(p) for p in payloads]
+    parts = [_unpack(p, True) for p in payloads]
     seen = np.zeros(0, "u8")
     keep = []
     for h, w, c, n in parts:
@@ -266,8 +284,8 @@ def _base(words: bytes, pairs: bytes):
     import numpy as np
 
     n = len(words) // 8
-    m = len(pairs) // 14
-    return np.frombuffer(pairs, "<u4", m).astype("i8"), np.frombuffer(pairs, "<u2", m, 4 * m).astype("i8"), np.frombuffer(pairs, "<i8", m, 6 * m), n
+    m = len(pairs) // 10
+    return np.frombuffer(pairs, "<u4", m).astype("i8"), np.frombuffer(pairs, "<u2", m, 4 * m).astype("i8"), np.frombuffer(pairs, "<u4", m, 6 * m).astype("i8"), n
 
 
 def _sum_totals(state: DataFrame) -> dict:
@@ -308,11 +326,11 @@ def _cut(batches, block_words: int, buckets: int):
         yield ids, Block(ids, texts, digests, buckets)
 
 
-def _send(rows: DataFrame, block_words: int, buckets: int) -> DataFrame:
+def _send(rows: DataFrame, block_words: int, buckets: int, counted: bool) -> DataFrame:
     def run(batches):
         for _, b in _cut(batches, block_words, buckets):
             full = [p for p in range(buckets) if b.cuts[p] < b.cuts[p + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([b.name] * len(full), pa.string()), pa.array([b.payload(p) for p in full], pa.binary())], ["part", "block", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([b.name] * len(full), pa.string()), pa.array([b.payload(p, counted) for p in full], pa.binary())], ["part", "block", "payload"])
 
     return rows.mapInArrow(run, "part int, block string, payload binary")
 
@@ -327,7 +345,7 @@ def train(rows: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 1) -> Tra
         import pandas as pd
 
         words, word, ctx, n = merge(pdf["payload"])
-        pairs = b"".join([word.astype("<u4").tobytes(), ctx.astype("<u2").tobytes(), n.astype("<i8").tobytes()])
+        pairs = b"".join([word.astype("<u4").tobytes(), ctx.astype("<u2").tobytes(), n.astype("<u4").tobytes()])
         return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "words": [words.astype("<u8").tobytes()], "pairs": [pairs], "first": [Seating(word, ctx, n, len(words), np.minimum(n, 1)).pack()]})
 
     def begin(batches):
@@ -335,7 +353,7 @@ def train(rows: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 1) -> Tra
             for x in b.to_pylist():
                 yield _state_row(x["part"], x["words"], x["pairs"], [x["first"]])
 
-    merged = _send(rows, block_words, buckets).groupBy("part").applyInPandas(gather, "part int, words binary, pairs binary, first binary")
+    merged = _send(rows, block_words, buckets, True).groupBy("part").applyInPandas(gather, "part int, words binary, pairs binary, first binary")
     state = written(merged.mapInArrow(begin, STATE), "state")
     totals = _sum_totals(state)
     if not totals:
@@ -354,7 +372,8 @@ def train(rows: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 1) -> Tra
                     s = Seating.unpack(_base(x["words"], x["pairs"]), x["seating"][-1]).sweep(sent.value, seed * 1_000_003 + step * 65_537 + x["part"])
                     yield _state_row(x["part"], x["words"], x["pairs"], [*(x["seating"] if keep else []), s.pack()])
 
-        state = written(state.mapInArrow(sweep, STATE), "state")
+        before, state = state, written(state.mapInArrow(sweep, STATE), "state")
+        discard(before)
         totals = _sum_totals(state)
         if step >= BURN_IN:
             kept.append(Restaurants(totals, vocabulary, discounts))
@@ -413,9 +432,9 @@ def score(docs: DataFrame, block_words: int = BLOCK_WORDS, repeatable: bool = Fa
         row = state.iloc[0] if len(state) else None
         out = []
         for block, payload in zip(asked["block"], asked["payload"]):
-            h, w, c, _ = _unpack(payload)
+            h, w, c, _ = _unpack(payload, False)
             logs, counts = _probabilities(sent.value, row, h, w, c.astype("i8"))
-            out.append((key[0], block, logs.astype("<f4").tobytes(), counts.astype("<u4" if counts.max(initial=0) < 2**32 else "<u8").tobytes(), len(h)))
+            out.append((key[0], block, logs.astype("<f4").tobytes(), _small(counts), len(h)))
         return pd.DataFrame(out, columns=["part", "block", "logs", "counts", "n"]).astype({"part": np.int32, "n": np.int64})
 
     def file(key, pdf):
@@ -424,12 +443,12 @@ def score(docs: DataFrame, block_words: int = BLOCK_WORDS, repeatable: bool = Fa
         from pyarrow import fs
 
         pdf = pdf.sort_values("part")
-        counts = np.concatenate([np.frombuffer(c, "<u4" if len(c) == 4 * n else "<u8") for c, n in zip(pdf["counts"], pdf["n"])])
+        counts = np.concatenate([_big(c, n, 0)[0] for c, n in zip(pdf["counts"], pdf["n"])])
         system, base = fs.FileSystem.from_uri(folder)
         system.create_dir(base, recursive=True)
         own = f"{base}/{key[0]}.{uuid.uuid4().hex}"
         with system.open_output_stream(own) as out:
-            out.write(len(counts).to_bytes(8, "little") + counts.dtype.itemsize.to_bytes(8, "little") + counts.tobytes() + b"".join(pdf["logs"]))
+            out.write(len(counts).to_bytes(8, "little") + _small(counts) + b"".join(pdf["logs"]))
         system.move(own, f"{base}/{key[0]}")
         return pd.DataFrame({"n": [len(counts)]})
 
@@ -441,9 +460,8 @@ def score(docs: DataFrame, block_words: int = BLOCK_WORDS, repeatable: bool = Fa
         for ids, b in _cut(batches, block_words, buckets):
             with system.open_input_file(f"{base}/{b.name}") as f:
                 data = f.read()
-            n, wide = int.from_bytes(data[:8], "little"), int.from_bytes(data[8:16], "little")
-            counts = np.frombuffer(data, f"<u{wide}", n, 16).astype("f8")
-            logs = np.frombuffer(data, "<f4", -1, 16 + wide * n).astype("f8")
+            counts, at = _big(data, int.from_bytes(data[:8], "little"), 8)
+            logs = np.frombuffer(data[at:], "<f4").astype("f8")
             first = np.cumsum(b.size) - b.size
             word = b.word[b.pair]
             scored = np.add.reduceat(logs[b.pair], first)
@@ -451,7 +469,7 @@ def score(docs: DataFrame, block_words: int = BLOCK_WORDS, repeatable: bool = Fa
             based, known = np.add.reduceat(plain[word], first), np.add.reduceat((counts > 0).astype("i8")[word], first)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([_held(i) for i in ids]), pa.array(b.size), pa.array(known), pa.array([tokens] * len(ids), pa.int64()), pa.array(based), pa.array(scored)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    asked = _send(rows, block_words, buckets).groupBy("part")
+    asked = _send(rows, block_words, buckets, False).groupBy("part")
     answers = asked.cogroup(model.state.select("part", "words", "pairs", "seating").groupBy("part")).applyInPandas(answer, "part int, block string, logs binary, counts binary, n long")
     answers.groupBy("block").applyInPandas(file, "n long").agg(F.sum("n")).collect()
     return rows.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
