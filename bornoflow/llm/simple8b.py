@@ -38,7 +38,7 @@ def encode(values, block: int = BLOCK):
             np.maximum(widest[: len(flat) - more], widest[more:], out=grown[: len(flat) - more])
             grown[len(flat) - more :] = widest[len(flat) - more :]
             widest, length = grown, length + more
-        selector[widest <= k] = k + 1
+        np.copyto(selector, k + 1, where=widest <= k)
     step = COUNTS[selector]
     here, begin = np.zeros(len(flat), bool), np.arange(blocks) * stride
     stop = begin + block
@@ -99,9 +99,15 @@ def decode(words, n: int, block: int = BLOCK):
         count, bits = PACKS[s - 1]
         if not bits:
             continue
-        mask, x = np.uint64((1 << bits) - 1), w[at[m]]
-        for j in range(count):
-            p = begin[m] + j
-            inside = p < limit[m]
-            out[p[inside]] = (x[inside] >> np.uint64(bits * j)) & mask
+        mask = np.uint64((1 << bits) - 1)
+        whole = begin[m] + count <= limit[m]
+        for part, cut in ((m[whole], False), (m[~whole], True)):
+            x, p = w[at[part]], begin[part].copy()
+            for j in range(count):
+                if cut:
+                    inside = p < limit[part]
+                    out[p[inside]] = (x[inside] >> np.uint64(bits * j)) & mask
+                else:
+                    out[p] = (x >> np.uint64(bits * j)) & mask
+                p += 1
     return out

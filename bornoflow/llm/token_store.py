@@ -30,6 +30,8 @@ from .common import partitions, shared_uri, slices, written
 FILE_IDS = 4_000_000
 CACHE_PIECES = 1_000_000
 HEAD = 48
+#: White space to str.split(), but not to this module, which cuts at ASCII white space alone.
+OTHER_SPACE = [chr(c) for c in (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 
 
 class PieceEncoder:
@@ -67,7 +69,9 @@ class PieceEncoder:
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         known = self.cache.get
-        return b"".join([known(p) or self.piece(p) for p in re.findall(r"[^\t-\r ]+", text)])
+        odd = OTHER_SPACE[:4] if text.isascii() else OTHER_SPACE
+        pieces = re.findall(r"[^\t-\r ]+", text) if any(c in text for c in odd) else text.split()
+        return b"".join([known(p) or self.piece(p) for p in pieces])
 
 
 @functools.lru_cache(maxsize=2)
