@@ -546,3 +546,187 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     order = Window.partitionBy("word").orderBy(F.desc("n"), "next")
     return counts.withColumn("rank", F.row_number().over(order)).where("rank <= 3")
+
+
+# Personal store, policies, transliteration, autocorrect.
+S_COMMITS = r"""cm AS (SELECT conv_id AS user_id, w AS token_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS tick FROM (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS w, generate_subscripts(regexp_extract_all(lower(text), '\p{L}+'), 1) AS i FROM conversations)),
+lg AS (SELECT *, lag(token_id) OVER w AS b1, lag(token_id, 2) OVER w AS b2, lag(token_id, 3) OVER w AS b3 FROM cm WINDOW w AS (PARTITION BY user_id ORDER BY tick)),
+ob AS (SELECT user_id, tick, 0 AS context_len, '' AS context, token_id FROM lg UNION ALL SELECT user_id, tick, 1, b1, token_id FROM lg WHERE b1 IS NOT NULL
+  UNION ALL SELECT user_id, tick, 2, b2 || ' ' || b1, token_id FROM lg WHERE b2 IS NOT NULL UNION ALL SELECT user_id, tick, 3, b3 || ' ' || b2 || ' ' || b1, token_id FROM lg WHERE b3 IS NOT NULL),
+store AS (SELECT user_id, CAST(context_len AS INTEGER) AS context_len, context, token_id, count(*) AS count, CAST(max(tick) AS INTEGER) AS last_seen FROM ob GROUP BY ALL),
+look AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id, context_len, context ORDER BY count DESC, last_seen DESC, token_id) AS INTEGER) AS rank FROM store WHERE count >= 2)"""
+
+
+@query(f"WITH {S_COMMITS} SELECT * FROM store")
+def personal_counts(spark, sf_dir):
+    from ..operators import personal
+
+    return personal.entries(commits(spark, sf_dir))
+
+
+@query(f"WITH {S_COMMITS} SELECT * FROM look WHERE rank <= 3")
+def personal_topk(spark, sf_dir):
+    from ..operators import personal
+
+    return personal.lookup(personal.entries(commits(spark, sf_dir)))
+
+
+@query(f"WITH {S_COMMITS} SELECT user_id, context_len, context, token_id, CAST(count // 2 AS BIGINT) AS count, last_seen FROM store WHERE count >= 2")
+def personal_decay(spark, sf_dir):
+    from ..operators import personal
+
+    return personal.decay(personal.entries(commits(spark, sf_dir)))
+
+
+@query(f"WITH {S_COMMITS}, e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY count DESC, last_seen DESC, context_len DESC, context, token_id) AS r FROM store) SELECT user_id, context_len, context, token_id, count, last_seen FROM e WHERE r <= 50")
+def personal_evicted(spark, sf_dir):
+    from ..operators import personal
+
+    return personal.evicted(personal.entries(commits(spark, sf_dir)), 50)
+
+
+@query(f"""WITH {S_COMMITS}, tl AS (SELECT user_id, token_id, row_number() OVER (PARTITION BY user_id ORDER BY tick DESC) AS r FROM cm),
+l AS (SELECT user_id, list(token_id ORDER BY r DESC) AS ts FROM tl WHERE r <= 3 GROUP BY 1), cx AS (SELECT user_id, CAST(k AS INTEGER) AS context_len, array_to_string(ts[len(ts) - k + 1 :], ' ') AS context FROM (SELECT *, unnest(range(0, len(ts) + 1)) AS k FROM l)),
+model AS (SELECT token_id, row_number() OVER (ORDER BY count(*) DESC, token_id) AS rank FROM cm GROUP BY 1 QUALIFY rank <= 5),
+al AS (SELECT user_id, token_id, CASE WHEN context_len > 0 THEN 0 ELSE 2 END AS tier, -context_len AS a, rank AS b FROM cx JOIN look USING (user_id, context_len, context) WHERE rank <= 5 UNION ALL SELECT user_id, token_id, 1, 0, rank FROM (SELECT DISTINCT user_id FROM cx) CROSS JOIN model),
+f AS (SELECT *, row_number() OVER (PARTITION BY user_id, token_id ORDER BY tier, a, b) AS k FROM al)
+SELECT user_id, CAST(rank AS INTEGER) AS rank, token_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY tier, a, b, token_id) AS rank FROM f WHERE k = 1) WHERE rank <= 5""")
+def personal_merge(spark, sf_dir):
+    from ..operators import personal
+
+    c = commits(spark, sf_dir)
+    model = c.groupBy("token_id").count().orderBy(F.desc("count"), "token_id").limit(5)
+    from pyspark.sql import Window
+
+    model = model.select("token_id", F.row_number().over(Window.orderBy(F.desc("count"), "token_id")).alias("rank"))
+    return personal.merged(personal.current_contexts(c), personal.entries(c), model)
+
+
+S_POOL = S_ENC + ", " + S_RANKED(10) + """,
+st AS (SELECT c1 AS query, token_id, CAST(rank - 1 AS INTEGER) AS static_rank, count, 1 AS source_order, (token_id * 37 % 101) / 16.0::DOUBLE AS model_score FROM t2 WHERE rank <= 10),
+ge AS (SELECT query, CAST((query * 7 + j * 13) % 500 + 3 AS INTEGER) AS token_id, CAST(j AS INTEGER) AS model_rank, ((query * 5 + j * 11) % 97) / 16.0::DOUBLE AS model_score FROM (SELECT DISTINCT query FROM st), range(0, 8) AS r(j))"""
+
+
+def _pools(spark, sf_dir):
+    """Candidates of words after each word, with made-up model scores in sixteenths: sums are exact."""
+    ranked = ngrams.top_candidates(ngrams.counts(encoded(spark, sf_dir), 2).withColumn("score", F.col("count")), 2, 10)
+    static = ranked.select(F.col("c1").alias("query"), "token_id", (F.col("rank") - 1).alias("static_rank"), "count", F.lit(1).alias("source_order"), ((F.col("token_id") * 37 % 101) / 16).alias("model_score"))
+    gen = static.select("query").distinct().select("query", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("model_rank"))
+    gen = gen.select("query", ((F.col("query") * 7 + F.col("model_rank") * 13) % 500 + 3).cast("int").alias("token_id"), "model_rank", ((F.col("query") * 5 + F.col("model_rank") * 11) % 97 / 16).alias("model_score"))
+    return static, gen
+
+
+@query(f"WITH {S_POOL}, r AS (SELECT *, model_score - 0.0625::DOUBLE * static_rank AS s FROM st) SELECT query, token_id, rank, s AS rerank_score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY CASE WHEN static_rank < 1 THEN 1e9 ELSE s END DESC, static_rank, token_id) AS INTEGER) AS rank FROM r) WHERE rank <= 5")
+def rerank_locked(spark, sf_dir):
+    from ..operators import policies
+
+    return policies.rerank(_pools(spark, sf_dir)[0], 0.0625, 1, 5).select("query", "token_id", "rank", "rerank_score")
+
+
+@query(f"""WITH {S_POOL}, a AS (SELECT query, token_id, CASE WHEN static_rank < 1 THEN 0 ELSE 2 END AS tier, static_rank AS r FROM st UNION ALL SELECT query, token_id, 1, model_rank FROM ge), f AS (SELECT query, token_id, min({{'tier': tier, 'r': r}}) AS pos FROM a GROUP BY ALL)
+SELECT query, token_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY pos, token_id) AS rank FROM f) WHERE rank <= 6""")
+def merge_locked(spark, sf_dir):
+    from ..operators import policies
+
+    return policies.merge_locked(*_pools(spark, sf_dir), 1, 6)
+
+
+S_UNION = """u AS (SELECT query, token_id, static_rank, model_rank, greatest(s.model_score - 0.125::DOUBLE * static_rank + 0.25::DOUBLE + CASE WHEN static_rank < 1 THEN 1000000 ELSE 0 END, g.model_score - 0.5::DOUBLE - 0.0625::DOUBLE * model_rank) + CASE WHEN s.query IS NOT NULL AND g.query IS NOT NULL THEN 0.5::DOUBLE ELSE 0 END AS union_score
+  FROM st s FULL JOIN ge g USING (query, token_id))"""
+
+
+@query(f"WITH {S_POOL}, {S_UNION} SELECT query, token_id, static_rank, model_rank, union_score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY union_score DESC, static_rank NULLS LAST, model_rank NULLS LAST, token_id) AS rank FROM u) WHERE rank <= 8")
+def scored_union(spark, sf_dir):
+    from ..operators import policies
+
+    return policies.scored_union(*_pools(spark, sf_dir), policies.UnionPolicy(0.0, 0.125, 0.0, 0.25, 1, 0.5, 0.0625, 0.5), 8)
+
+
+@query(f"""WITH {S_POOL}, tx AS (SELECT query, 't' || ((query + j * 3) % 50 + 3) AS text, j AS text_rank, ((query + j) % 31) / 16.0::DOUBLE AS text_score FROM (SELECT DISTINCT query FROM st), range(0, 4) AS r(j)),
+tt AS (SELECT query, text, min(text_rank) AS text_rank, max(text_score) AS text_score FROM tx GROUP BY ALL),
+s AS (SELECT query, 't' || token_id AS text, static_rank, 0.25::DOUBLE - 0.125::DOUBLE * static_rank + CASE WHEN static_rank < 1 THEN 1000000 ELSE 0 END AS s FROM st), gg AS (SELECT query, 't' || token_id AS text, model_rank, model_score - 0.5::DOUBLE - 0.0625::DOUBLE * model_rank AS g FROM ge),
+b AS (SELECT * FROM s FULL JOIN gg USING (query, text) FULL JOIN (SELECT *, text_score - 0.25::DOUBLE - 0.0625::DOUBLE * text_rank AS t FROM tt) USING (query, text)),
+f AS (SELECT *, greatest(s, g, t) + 0.25::DOUBLE * ((s IS NOT NULL)::INT + (g IS NOT NULL)::INT + (t IS NOT NULL)::INT - 1) AS final_score FROM b)
+SELECT query, text, final_score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY final_score DESC, static_rank NULLS LAST, model_rank NULLS LAST, text_rank NULLS LAST, text) AS rank FROM f) WHERE rank <= 8""")
+def unified_merge(spark, sf_dir):
+    from ..operators import policies
+
+    static, gen = _pools(spark, sf_dir)
+    named = lambda df: df.withColumn("text", F.concat(F.lit("t"), F.col("token_id").cast("string")))
+    texts = static.select("query").distinct().select("query", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("text_rank"))
+    texts = texts.select("query", F.concat(F.lit("t"), ((F.col("query") + F.col("text_rank") * 3) % 50 + 3).cast("string")).alias("text"), "text_rank", ((F.col("query") + F.col("text_rank")) % 31 / 16).alias("text_score"))
+    return policies.unified(named(static), named(gen), texts, policies.UnionPolicy(0.0, 0.125, 0.0, 0.25, 1, 0.5, 0.0625, 0.5), 0.25, 0.0625, 0.25, 8)
+
+
+@query(f"""WITH {S_POOL}, lb AS (SELECT query, arg_min(token_id, static_rank) FILTER (static_rank >= 1) AS label FROM st GROUP BY 1), p(policy, pen, lock) AS (VALUES (0, 0.0::DOUBLE, 0), (1, 0.25::DOUBLE, 0), (2, 0.25::DOUBLE, 1), (3, 1.0::DOUBLE, 2)),
+r AS (SELECT policy, query, token_id, row_number() OVER (PARTITION BY policy, query ORDER BY model_score - pen * static_rank + CASE WHEN static_rank < lock THEN 1000000 ELSE 0 END DESC, static_rank, token_id) AS rank FROM st CROSS JOIN p)
+SELECT CAST(policy AS INTEGER) AS policy, count(*) AS found, count(*) FILTER (rank <= 1) AS hits1, count(*) FILTER (rank <= 5) AS hits5, round(sum(1.0::DOUBLE / rank), 6) AS reciprocal_ranks FROM r JOIN lb USING (query) WHERE token_id = label GROUP BY 1""")
+def policy_grid(spark, sf_dir):
+    from ..operators import policies
+
+    static, _ = _pools(spark, sf_dir)
+    labels = static.where("static_rank >= 1").groupBy("query").agg(F.min_by("token_id", "static_rank").alias("label"))
+    return policies.grid(static, labels, [policies.UnionPolicy(0.0, pen, 0.0, 0.0, lock) for pen, lock in ((0.0, 0), (0.25, 0), (0.25, 1), (1.0, 2))])
+
+
+@query()
+def transliterate_strict(spark, sf_dir):
+    from ..operators import transliteration as X
+
+    return table(spark, sf_dir, "documents").select("doc_id", X.strict(F.col("text")).alias("bangla"))
+
+
+@query()
+def transliterate_lenient(spark, sf_dir):
+    from ..operators import transliteration as X
+
+    return table(spark, sf_dir, "documents").select("doc_id", X.lenient(F.col("text")).alias("bangla"))
+
+
+def _roman(spark, sf_dir):
+    return lexicon.frequencies(table(spark, sf_dir, "documents"), min_frequency=2).where(F.col("word").rlike("^[a-z]+$"))
+
+
+@query()
+def phonetic_units(spark, sf_dir):
+    from ..operators import transliteration as X
+
+    rows = _roman(spark, sf_dir).select("word", F.posexplode(X.word_units("word")).alias("idx", "u"))
+    return rows.select("word", "idx", "u.text", "u.kind", "u.position")
+
+
+def _bangla_lexicon(spark, sf_dir):
+    from ..operators import transliteration as X
+
+    rows = _roman(spark, sf_dir).select(X.rendered("word").alias("word"), "frequency")
+    return lexicon.merge_sum(rows.where(T.is_lexicon_word(F.col("word"))))
+
+
+@query()
+def autocorrect_suggest(spark, sf_dir):
+    """Corrections of the words that occur twice, against the lexicon of those that occur more often, both in Bangla."""
+    from ..operators import autocorrect
+
+    words = _bangla_lexicon(spark, sf_dir).where(F.length("word").between(3, 12))
+    queries = words.where("frequency >= 2").orderBy("frequency", "word").limit(200).select(F.col("word").alias("query"))
+    return autocorrect.suggest(queries, words.where("frequency > 2"), max_distance=1)
+
+
+@query()
+def stem_suffixes(spark, sf_dir):
+    from ..operators import autocorrect
+
+    return autocorrect.stem_completions(_bangla_lexicon(spark, sf_dir))
+
+
+S_KEYS = "keys(ch, x, y) AS (VALUES " + ", ".join(f"('{c}', {i + s}::DOUBLE, {y}::DOUBLE)" for y, (r, s) in enumerate((("qwertyuiop", 0.0), ("asdfghjkl", 0.5), ("zxcvbnm", 1.0))) for i, c in enumerate(r)) + ")"
+
+
+@query(rf"""WITH {S_FREQ}, {S_KEYS}, near AS (SELECT a.ch, b.ch AS near, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM keys a JOIN keys b ON a.ch <> b.ch WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 1.2),
+w AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM freq WHERE frequency >= 2 AND regexp_matches(word, '^[a-z]+$')),
+v AS (SELECT word, left(word, i - 1) || near || substr(word, i + 1) AS variant, d2 FROM w JOIN near ON near.ch = substr(word, i, 1)), m AS (SELECT word, variant, min(d2) AS d2 FROM v GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY d2, variant) AS rank FROM m) SELECT word, variant, CAST(greatest(1, round(2 * d2)) AS INTEGER) AS cost, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 64""")
+def key_slips(spark, sf_dir):
+    from ..operators import autocorrect
+
+    return autocorrect.key_slips(_roman(spark, sf_dir).select("word"))
