@@ -730,3 +730,24 @@ def key_slips(spark, sf_dir):
     from ..operators import autocorrect
 
     return autocorrect.key_slips(_roman(spark, sf_dir).select("word"))
+
+
+@query()
+def roman_repairs(spark, sf_dir):
+    from ..operators import autocorrect
+
+    return autocorrect.roman_repairs(_roman(spark, sf_dir).select("word"))
+
+
+OPEN_SQL = r"""CASE WHEN NOT isfinite(s) THEN 'non_finite_score' WHEN s < 0.5 THEN 'score_below_threshold' WHEN t = '' THEN 'empty' WHEN trim(t) <> t THEN 'outer_whitespace' WHEN length(t) > 24 THEN 'too_long' END"""
+
+
+@query(f"""WITH {S_FREQ}, x AS (SELECT word AS t, CASE WHEN frequency % 11 = 0 THEN 'nan'::DOUBLE ELSE frequency % 7 / 4.0::DOUBLE END AS s FROM freq),
+r AS (SELECT coalesce({OPEN_SQL}, 'non_bangla') AS reason FROM x)
+SELECT reason, count(*) AS n FROM r GROUP BY 1""")
+def open_vocab_reasons(spark, sf_dir):
+    """Why made-up Latin texts are refused as open-vocabulary suggestions."""
+    from ..operators import openvocab
+
+    rows = lexicon.frequencies(table(spark, sf_dir, "documents")).select(F.col("word").alias("text"), F.when(F.col("frequency") % 11 == 0, float("nan")).otherwise(F.col("frequency") % 7 / 4).alias("score"))
+    return rows.groupBy(openvocab.reason(F.col("text"), F.col("score"), min_score=0.5, max_chars=24).alias("reason")).agg(F.count("*").alias("n"))
