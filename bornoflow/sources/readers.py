@@ -125,8 +125,8 @@ def corpus(spark: SparkSession, *roots: str) -> DataFrame:
     """(path, format, text): every file of a corpus as NFC text, by its format's reader."""
     rows = files(spark, *roots)
     plain = F.make_valid_utf8(F.col("content").cast("string"))
-    epub = F.udf(lambda b: "\n".join(m for _, m in epub_members(bytes(b))), StringType())
-    text = F.when(F.col("format") == "json", json_prose(plain)).when(F.col("format") == "html", T.html_to_text(plain)).when(F.col("format") == "epub", T.html_to_text(epub("content"))).otherwise(plain)
+    epub = F.udf(lambda b: None if b is None else "\n".join(m for _, m in epub_members(bytes(b))), StringType())
+    text = F.when(F.col("format") == "json", json_prose(plain)).when(F.col("format") == "html", T.html_to_text(plain)).when(F.col("format") == "epub", T.html_to_text(epub(F.when(F.col("format") == "epub", F.col("content"))))).otherwise(plain)
     return rows.select("path", "format", nfc(text).alias("text"))
 
 
