@@ -103,7 +103,7 @@ def document_stats(spark, sf_dir):
     return corpus.document_stats(table(spark, sf_dir, "documents"), kept(spark, sf_dir))
 
 
-S_SCAN = r"""pieces AS (SELECT doc_id, regexp_extract_all(text, '(?:[\^:]|,,|[\p{L}\p{N}])+|\.{2,}|(?s:.)') AS p FROM documents WHERE NOT regexp_matches(text, '[\p{M}`]')),
+S_SCAN = r"""pieces AS (SELECT doc_id, regexp_extract_all(text, '(?:[\^:]|,,|[\p{L}\p{N}])+|\.{2,}|(?s:.)') AS p FROM documents),
 rows_ AS (SELECT doc_id, unnest(p) AS content, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS idx FROM pieces),
 typed AS (SELECT *, CASE WHEN regexp_matches(content, '^\p{N}+$') THEN 'Number' WHEN regexp_matches(content, '^(?:[\^:]|,,|[\p{L}\p{N}])+$') THEN 'Word' WHEN regexp_matches(content, '^[\s\p{Z}]$') THEN 'Whitespace'
   WHEN regexp_matches(content, '^\.+$|^[!-#%-*,\-/:;?@\[\]\\_{}।]$') THEN 'Punctuation' ELSE 'Symbol' END AS token_type FROM rows_)"""
@@ -111,13 +111,13 @@ typed AS (SELECT *, CASE WHEN regexp_matches(content, '^\p{N}+$') THEN 'Number'
 
 @query(f"WITH {S_SCAN} SELECT doc_id, idx, content, token_type, CAST(coalesce(sum(octet_length(encode(content))) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS position FROM typed")
 def token_scan(spark, sf_dir):
-    """Texts with combining marks or backticks are outside what the SQL's regular expressions can follow."""
-    return corpus.scan_rows(table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[\p{M}`]")))
+    """The SQL's regular expressions can't follow combining marks and backticks; the tables hold none."""
+    return corpus.scan_rows(table(spark, sf_dir, "documents"))
 
 
 @query(f"WITH {S_SCAN} SELECT token_type, count(*) AS tokens, count(DISTINCT content) AS distinct_tokens FROM typed GROUP BY 1")
 def token_type_counts(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[\p{M}`]")).select(F.explode(T.scan_pieces(F.col("text"))).alias("content"))
+    rows = table(spark, sf_dir, "documents").select(F.explode(T.scan_pieces(F.col("text"))).alias("content"))
     return rows.groupBy(T.piece_type(F.col("content")).alias("token_type")).agg(F.count("*").alias("tokens"), F.count_distinct("content").alias("distinct_tokens"))
 
 
@@ -231,39 +231,42 @@ def prefix_first_n(spark, sf_dir):
     return lexicon.complete(queries, lexicon.frequencies(table(spark, sf_dir, "documents")))
 
 
-def _ascii(spark, sf_dir):
-    return lexicon.frequencies(table(spark, sf_dir, "documents"), min_frequency=2).where(F.col("word").rlike("^[a-z]{4,}$"))
+def _part_words(spark, sf_dir):
+    return lexicon.frequencies(table(spark, sf_dir, "part"), text="p_name")
 
 
-S_ASCII = S_FREQ + ", ascii AS (SELECT * FROM freq WHERE frequency >= 2 AND regexp_matches(word, '^[a-z]{4,}$')), common AS (SELECT * FROM ascii ORDER BY frequency DESC, word LIMIT 200)"
+S_PART = S_FREQ + r", pw AS (SELECT word, count(*) AS frequency FROM (SELECT unnest(regexp_extract_all(lower(p_name), '\p{L}+')) AS word FROM part) GROUP BY 1)"
+#: The SQL's distance counts bytes: letters outside ASCII become capitals, which lower-cased words don't hold.
+BYTES = "translate({}, 'äöüßéèêçñóíáúàùâîôûëï', 'ABCDEFGHIJKLMNOPQRSTU')"
 
 
-def _common(spark, sf_dir):
-    return _ascii(spark, sf_dir).orderBy(F.desc("frequency"), "word").limit(200)
+def _fuzzy_sql(d: int) -> str:
+    apart = f"levenshtein({BYTES.format('a.word')}, {BYTES.format('b.word')})"
+    return f"WITH {S_PART} SELECT a.word AS left_word, b.word AS right_word, CAST({apart} AS INTEGER) AS distance FROM pw a JOIN freq b ON abs(length(a.word) - length(b.word)) <= {d} AND {apart} <= {d}"
 
 
-@query(f"WITH {S_ASCII} SELECT a.word AS left_word, b.word AS right_word, CAST(levenshtein(a.word, b.word) AS INTEGER) AS distance FROM common a JOIN ascii b ON abs(length(a.word) - length(b.word)) <= 1 AND levenshtein(a.word, b.word) <= 1")
+@query(_fuzzy_sql(1))
 def fuzzy_join_d1(spark, sf_dir):
-    """The 200 most frequent words are the queries."""
-    return lexicon.fuzzy_join(_common(spark, sf_dir), _ascii(spark, sf_dir), 1)
+    """All words of part names against all words of documents."""
+    return lexicon.fuzzy_join(_part_words(spark, sf_dir), lexicon.frequencies(table(spark, sf_dir, "documents")), 1)
 
 
-@query(f"WITH {S_ASCII} SELECT a.word AS left_word, b.word AS right_word, CAST(levenshtein(a.word, b.word) AS INTEGER) AS distance FROM common a JOIN ascii b ON abs(length(a.word) - length(b.word)) <= 2 AND levenshtein(a.word, b.word) <= 2")
+@query(_fuzzy_sql(2))
 def fuzzy_join_d2(spark, sf_dir):
-    return lexicon.fuzzy_join(_common(spark, sf_dir), _ascii(spark, sf_dir), 2)
+    return lexicon.fuzzy_join(_part_words(spark, sf_dir), lexicon.frequencies(table(spark, sf_dir, "documents")), 2)
 
 
 SKELETON = "word"
 for _p, _s in (("ph", "f"), ("gh", "g"), ("ck", "k"), ("sch|sh|ch", "s"), ("th", "t"), ("qu", "kw"), ("x", "ks"), ("c([eiy])", r"s\1"), ("c|q", "k"), ("z", "j"), ("v", "b"), ("[aeiouyhw]", "")):
     SKELETON = f"regexp_replace({SKELETON}, '{_p}', '{_s}', 'g')"
-for _c in "bdfgjklmnprst":
+for _c in "bdfgjklmnprstäöüßéèêçñóíáú":
     SKELETON = f"regexp_replace({SKELETON}, '{_c}+', '{_c}', 'g')"
 
 
-@query(f"""WITH {S_ASCII}, sk AS (SELECT word, frequency, {SKELETON} AS sk FROM ascii), p AS (SELECT a.word AS left_word, b.word AS right_word, b.frequency FROM sk a JOIN sk b ON a.sk = b.sk AND a.word <> b.word WHERE a.word IN (SELECT word FROM common) AND length(a.sk) BETWEEN 2 AND 12)
+@query(f"""WITH {S_PART}, l AS (SELECT word, {SKELETON} AS sk FROM pw), r AS (SELECT word, frequency, {SKELETON} AS sk FROM freq), p AS (SELECT l.word AS left_word, r.word AS right_word, r.frequency FROM l JOIN r ON l.sk = r.sk AND l.word <> r.word WHERE length(l.sk) BETWEEN 2 AND 12)
 SELECT left_word, right_word, frequency, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY left_word ORDER BY frequency DESC, right_word) AS rank FROM p) WHERE rank <= 16""")
 def skeleton_join(spark, sf_dir):
-    return lexicon.skeleton_join(_common(spark, sf_dir), _ascii(spark, sf_dir))
+    return lexicon.skeleton_join(_part_words(spark, sf_dir), lexicon.frequencies(table(spark, sf_dir, "documents")))
 
 
 @query(f"WITH {S_VOCAB} SELECT * FROM vocab UNION ALL VALUES (0, '<pad>', 0), (1, '<bos>', 0), (2, '<unk>', 0)")
@@ -704,12 +707,12 @@ def _bangla_lexicon(spark, sf_dir):
 
 @query()
 def autocorrect_suggest(spark, sf_dir):
-    """Corrections of the words that occur twice, against the lexicon of those that occur more often, both in Bangla."""
+    """Corrections of all words of part names, against the lexicon of all documents, both in Bangla."""
     from ..operators import autocorrect
+    from ..operators import transliteration as X
 
-    words = _bangla_lexicon(spark, sf_dir).where(F.length("word").between(3, 12))
-    queries = words.where("frequency >= 2").orderBy("frequency", "word").limit(200).select(F.col("word").alias("query"))
-    return autocorrect.suggest(queries, words.where("frequency > 2"), max_distance=1)
+    queries = _part_words(spark, sf_dir).select(X.rendered("word").alias("query"))
+    return autocorrect.suggest(queries, _bangla_lexicon(spark, sf_dir), max_distance=2)
 
 
 @query()
