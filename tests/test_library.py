@@ -148,6 +148,16 @@ def test_bounded_store():
     assert store.context == [] and store.start and all(n >= 1 for n, _ in store.entries.values())
 
 
+def test_phonemes_and_confusions(spark):
+    from bornoflow.functions import phonemes
+
+    assert len(phonemes.PLAIN) == 32 and phonemes.distance("শ", "ষ") == 0 and phonemes.distance("ত", "থ") == 1 and phonemes.distance("ত", "ট") == 4 and phonemes.distance("চ", "শ") == 5
+    assert phonemes.distance("ক", "ঙ") == 14 and phonemes.distance("ক", "a") is None
+    lex = spark.createDataFrame([("মানুষ", 90_000), ("মানুষের", 100)], "word string, frequency long")
+    got = autocorrect.suggest(spark.createDataFrame([("মানুশ",)], "query string"), lex).collect()
+    assert (got[0].text, got[0].channel) == ("মানুষ", "edit_distance") and got[0].score == 11681 + 12_288
+
+
 def test_fuzzy_and_prefix(spark):
     words = spark.createDataFrame([("abc", 3), ("abd", 2), ("ab", 9), ("xabc", 1), ("zzz", 1)], "word string, frequency long")
     got = {(r.left_word, r.right_word, r.distance) for r in lexicon.fuzzy_join(words.where("word = 'abc'"), words, 1).collect()}
