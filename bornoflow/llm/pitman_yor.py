@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import WORD, discard, partitions, shared_uri, slices, written
 from .substring_dedup import _pack, _unpack as _unpack_hashes
 
-BLOCK_WORDS = 750_000
+BLOCK_WORDS = 500_000
 COARSE, FINE = 64, 1024  #: context classes by the last character, and by the last two
 BURN_IN, SAMPLES, DRAWS, SMALL, STEADY, STRENGTH = 2, 2, 4, 16, 32, 1.0
 END = " end"  #: no word: words hold no space
@@ -346,15 +346,11 @@ def train(rows: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 1) -> Tra
 
         words, word, ctx, n = merge(pdf["payload"])
         pairs = b"".join([word.astype("<u4").tobytes(), ctx.astype("<u2").tobytes(), n.astype("<u4").tobytes()])
-        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "words": [words.astype("<u8").tobytes()], "pairs": [pairs], "first": [Seating(word, ctx, n, len(words), np.minimum(n, 1)).pack()]})
+        first = Seating(word, ctx, n, len(words), np.minimum(n, 1))
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "words": [words.astype("<u8").tobytes()], "pairs": [pairs], "seating": [[first.pack()]], "totals": [first.totals()]})
 
-    def begin(batches):
-        for b in batches:
-            for x in b.to_pylist():
-                yield _state_row(x["part"], x["words"], x["pairs"], [x["first"]])
-
-    merged = _send(rows, block_words, buckets, True).groupBy("part").applyInPandas(gather, "part int, words binary, pairs binary, first binary")
-    state = written(merged.mapInArrow(begin, STATE), "state")
+    # one Python step a stage: each further one would keep a worker of its own per core
+    state = written(_send(rows, block_words, buckets, True).groupBy("part").applyInPandas(gather, STATE), "state")
     totals = _sum_totals(state)
     if not totals:
         return Trained(state, [], 0, 0)
