@@ -1,17 +1,20 @@
 """LM scoring with a hierarchical Pitman-Yor model.
 
-Restaurants: a word is drawn from the restaurant of its context, the last two characters of the word before (hashed to
-1024 classes, a class of its own for the start of a text); that one's parent is the restaurant of the last character
-(64 classes); the parent of all those is the root restaurant over words, whose base is uniform over the V training
-words and one unknown. Words and counts are unbounded; contexts are not, so a word's seatings are never more than 1089.
+Restaurants: a word is drawn from the restaurant of its context, the word before (a 52-bit hash; the start of a text
+has its own); that one's parent is the restaurant of the class of the word before, its last two characters hashed to
+1024; the parent of that is the one of its last character (64 classes), and theirs the root restaurant over words,
+whose base is uniform over the V training words and one unknown. Words, contexts and counts are all unbounded.
 
 Plan:
 1. Blocks of documents send, per bucket of word hashes, their distinct (word, context) pairs with training counts,
-   packed into one binary row. A bucket's reducer adds them up: one row of state per bucket, in the shared folder.
+   packed into one binary row. A bucket's reducer adds them up: one row of state per bucket, in the shared folder. It
+   also lists the contexts of pairs that only held-out texts have: the scores need those contexts' totals.
 2. Sweeps of Gibbs sampling: each bucket reseats, dish by dish, all customers of a restaurant one after the other by
    the Chinese restaurant process given everything else: up to SMALL customers exactly, above that as one of DRAWS such
-   seatings, chosen by its importance weight. Tables of a restaurant are customers of its parent. Buckets meet once a sweep through the totals of restaurants, an
-   array of fixed size; within a sweep those stay as they were (as in approximate distributed sampling). From the
+   seatings, chosen by its importance weight. Tables of a restaurant are customers of its parent. Buckets meet once a
+   sweep through the totals of restaurants; within a sweep those stay as they were (as in approximate distributed
+   sampling). Those of classes and the root are an array of fixed size. Those of word contexts are shuffled by ranges of
+   contexts, added up, and written to one file per range, where each bucket finds the slice of its own contexts. From the
    STEADY-th customer of a dish on, customers are seated in lots of 1/16 of those present.
 3. Kept samples' predictive probabilities are averaged. Each block's pairs meet the state in their bucket again, the
    answers (log10 probability of each pair, training count of each word) go to one file per block in the shared folder,
@@ -38,6 +41,7 @@ from .substring_dedup import _pack, _unpack as _unpack_hashes
 
 BLOCK_WORDS = 500_000
 COARSE, FINE = 64, 1024  #: context classes by the last character, and by the last two
+CLASS_BITS, HASH_BITS = 11, 52  #: a context is a hash of the word before, over its class; the start of a text is FINE
 BURN_IN, SAMPLES, DRAWS, SMALL, STEADY, STRENGTH = 2, 2, 4, 16, 32, 1.0
 END = " end"  #: no word: words hold no space
 FOLDS, HELD = 7, 2
@@ -47,7 +51,8 @@ def context(word: str) -> int:
     import xxhash
 
     h = xxhash.xxh32_intdigest
-    return h(word[-1:].encode("utf-8", "surrogatepass")) % COARSE * (FINE // COARSE) + h(word[-2:].encode("utf-8", "surrogatepass")) % (FINE // COARSE)
+    own = h(word[-1:].encode("utf-8", "surrogatepass")) % COARSE * (FINE // COARSE) + h(word[-2:].encode("utf-8", "surrogatepass")) % (FINE // COARSE)
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 7) >> (64 - HASH_BITS) << CLASS_BITS | own
 
 
 def _held(doc_id) -> bool:
@@ -78,15 +83,15 @@ class Block:
         after = np.array([context(w) for w in words], "i8")
         ids = np.concatenate(rows)
         first = np.cumsum(self.size) - self.size
-        prev = np.concatenate([[0], after[ids[:-1]]])
-        prev[first] = FINE  # the start of a text
         order = np.lexsort((self.hash, self.hash % np.uint64(buckets)))  # words by bucket and hash
         place = np.empty(len(order), "i8")
         place[order] = np.arange(len(order))
-        key, self.pair = np.unique(place[ids] * (FINE + 1) + prev, return_inverse=True)
+        prev = np.concatenate([[0], place[ids[:-1]]])
+        prev[first] = len(order)  # the start of a text
+        key, self.pair = np.unique(place[ids] * (len(order) + 1) + prev, return_inverse=True)
         train = np.repeat(np.array([not _held(i) for i in doc_ids]), self.size)
         self.count = np.bincount(self.pair[train], minlength=len(key)).astype("u4")
-        self.word, self.context = key // (FINE + 1), (key % (FINE + 1)).astype("u2")
+        self.word, self.context = key // (len(order) + 1), np.append(after[order], FINE)[key % (len(order) + 1)]
         self.hash = self.hash[order]
         self.cuts = np.searchsorted(self.hash % np.uint64(buckets), np.arange(buckets + 1, dtype="u8"))
         self.pair_cuts = np.searchsorted(self.word, self.cuts)
@@ -97,7 +102,7 @@ class Block:
         a, b, c, d = self.cuts[p], self.cuts[p + 1], self.pair_cuts[p], self.pair_cuts[p + 1]
         h = _pack(self.hash[a:b])
         per_word = np.bincount(self.word[c:d] - a, minlength=b - a)
-        parts = [(b - a).astype("<u4").tobytes(), len(h).to_bytes(4, "little"), h, _small(per_word), self.context[c:d].astype("<u2").tobytes()]
+        parts = [(b - a).astype("<u4").tobytes(), len(h).to_bytes(4, "little"), h, _small(per_word), self.context[c:d].astype("<i8").tobytes()]
         return b"".join([*parts, _small(self.count[c:d])] if counted else parts)
 
 
@@ -127,28 +132,38 @@ def _unpack(data: bytes, counted: bool):
     h = _unpack_hashes(data[8 : 8 + size])
     per_word, at = _big(data, n, 8 + size)
     m = int(per_word.sum())
-    return h, np.repeat(np.arange(n), per_word), np.frombuffer(data, "<u2", m, at), _big(data, m, at + 2 * m)[0] if counted else None
+    return h, np.repeat(np.arange(n), per_word), np.frombuffer(data, "<i8", m, at), _big(data, m, at + 8 * m)[0] if counted else None
 
 
 def merge(payloads):
-    """The state of one bucket: words ascending, pairs by word and context with training counts above zero."""
+    """The state of one bucket: (hashes of words with training counts, ascending; word, place in contexts and training count of each pair; all contexts, ascending)."""
     import numpy as np
 
     parts = [_unpack(p, True) for p in payloads]
-    seen = np.zeros(0, "u8")
+    contexts = np.unique(np.concatenate([c for _, _, c, _ in parts]))
     keep = []
     for h, w, c, n in parts:
         some = n > 0
-        keep.append((h[w[some]], c[some], n[some]))
+        keep.append((h[w[some]], np.searchsorted(contexts, c[some]), n[some]))
     hs, cs, ns = (np.concatenate(x) for x in zip(*keep))
     seen, w = np.unique(hs, return_inverse=True)
-    key, inv = np.unique(w * (FINE + 1) + cs, return_inverse=True)
-    return seen, key // (FINE + 1), key % (FINE + 1), np.bincount(inv, ns, len(key)).astype("i8")
+    key, inv = np.unique(w * len(contexts) + cs, return_inverse=True)
+    return seen, key // len(contexts), key % len(contexts), np.bincount(inv, ns, len(key)).astype("i8"), contexts
+
+
+def fine(c):
+    """The parent of a context: its class; that of the start of a text is a class of its own."""
+    return c & ((1 << CLASS_BITS) - 1)
 
 
 def coarse(c):
-    """The parent of a context: its coarse class; that of the start of a text is a class of its own."""
-    return c // (FINE // COARSE)
+    """The parent of a class: its coarse class."""
+    return fine(c) // (FINE // COARSE)
+
+
+def span(c, buckets: int):
+    """The range of contexts that c falls into, of `buckets` ranges in ascending order."""
+    return (c >> (CLASS_BITS + HASH_BITS - 30)) * buckets >> 30
 
 
 def seat(n, new, discount: float, rng, draws: int = DRAWS, small: int = SMALL):
@@ -201,14 +216,55 @@ def seat(n, new, discount: float, rng, draws: int = DRAWS, small: int = SMALL):
 
 
 class Restaurants:
-    """Totals of all restaurants: customers and tables of contexts, coarse contexts and the root; discounts; V."""
+    """Totals of all restaurants: customers and tables of classes, coarse classes and the root; the folder that has those of word contexts; discounts; V."""
 
-    def __init__(self, totals: dict, vocabulary: int, discounts):
+    def __init__(self, totals: dict, vocabulary: int, discounts, folder: str, buckets: int):
         import numpy as np
 
-        self.vocabulary, self.discounts = vocabulary, discounts
+        self.vocabulary, self.discounts, self.folder, self.buckets = vocabulary, discounts, folder, buckets
         self.n2, self.t2, self.n1, self.t1, self.n0, self.t0 = (np.asarray(totals[k], "f8") for k in ("n2", "t2", "n1", "t1", "n0", "t0"))
 
+    def _files(self, spans):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(self.folder)
+        for q in spans:
+            if system.get_file_info(f"{base}/{q}").type == fs.FileType.File:
+                with system.open_input_file(f"{base}/{q}") as f:
+                    yield q, f
+
+    def local(self, part: int):
+        """(customers, tables) of a bucket's contexts, in their order."""
+        import numpy as np
+
+        n, t = [np.zeros(0)], [np.zeros(0)]
+        for _, f in self._files(range(self.buckets)):
+            f.seek(8 * part)
+            a, b = np.frombuffer(f.read(16), "<i8")
+            f.seek(a)
+            x = np.frombuffer(f.read(b - a), "<u4").reshape(2, -1)
+            n.append(x[0])
+            t.append(x[1])
+        return np.concatenate(n).astype("f8"), np.concatenate(t).astype("f8")
+
+    def lookup(self, ctx):
+        """(customers, tables) of any contexts: reads all of their ranges."""
+        import numpy as np
+
+        n, t, at = np.zeros(len(ctx)), np.zeros(len(ctx)), span(ctx, self.buckets)
+        for q, f in self._files(np.unique(at).tolist()):
+            f.seek(8 * self.buckets)
+            start = int(np.frombuffer(f.read(8), "<i8")[0])
+            f.seek(start)
+            data = f.read()
+            m = len(data) // 16
+            keys, x = np.frombuffer(data, "<i8", m), np.frombuffer(data, "<u4", 2 * m, 8 * m).reshape(2, m)
+            mine = np.flatnonzero(at == q)
+            i = np.minimum(np.searchsorted(keys, ctx[mine]), m - 1)
+            ok = keys[i] == ctx[mine]
+            n[mine], t[mine] = np.where(ok, x[0][i], 0), np.where(ok, x[1][i], 0)
+        return n, t
+
     def root(self, c0, t0):
         d = self.discounts[0]
         return (c0 - d * t0 + (STRENGTH + d * self.t0[0]) / (self.vocabulary + 1)) / (STRENGTH + self.n0[0])
@@ -221,71 +277,130 @@ class Restaurants:
         d = self.discounts[2]
         return (c2 - d * t2 + (STRENGTH + d * self.t2[k]) * p1) / (STRENGTH + self.n2[k])
 
+    def word(self, n, t, c3, t3, p2):
+        """n, t: the context's totals."""
+        d = self.discounts[3]
+        return (c3 - d * t3 + (STRENGTH + d * t) * p2) / (STRENGTH + n)
+
 
 class Seating:
-    """One bucket's seating: tables t2 of each (word, context), t1 of each (word, coarse context), t0 of each word."""
+    """One bucket's seating: tables t3 of each (word, context), t2 of each (word, class), t1 of each (word, coarse class), t0 of each word."""
 
-    def __init__(self, word, ctx, n, words: int, t2, t1=None, t0=None):
+    def __init__(self, base, t3, t2=None, t1=None, t0=None):
         import numpy as np
 
-        self.word, self.ctx, self.n, self.words, self.t2 = word, ctx, n, words, t2
-        key, self.up = np.unique(word * (COARSE + 1) + coarse(ctx), return_inverse=True)
+        self.base, self.t3 = base, t3
+        self.word, self.ctx, self.n, self.words, self.contexts, self.at = base
+        key, self.up3 = np.unique(self.word * (FINE + 1) + fine(self.ctx), return_inverse=True)
+        self.word2, self.ctx2 = key // (FINE + 1), key % (FINE + 1)
+        self.c2 = np.bincount(self.up3, t3, len(key)).astype("i8")
+        self.t2 = np.minimum(self.c2, 1) if t2 is None else t2
+        key, self.up2 = np.unique(self.word2 * (COARSE + 1) + coarse(self.ctx2), return_inverse=True)
         self.word1, self.ctx1 = key // (COARSE + 1), key % (COARSE + 1)
-        self.c1 = np.bincount(self.up, t2, len(key)).astype("i8")
+        self.c1 = np.bincount(self.up2, self.t2, len(key)).astype("i8")
         self.t1 = np.minimum(self.c1, 1) if t1 is None else t1
-        self.c0 = np.bincount(self.word1, self.t1, words).astype("i8")
+        self.c0 = np.bincount(self.word1, self.t1, self.words).astype("i8")
         self.t0 = np.minimum(self.c0, 1) if t0 is None else t0
 
-    def sweep(self, r: Restaurants, seed: int) -> Seating:
+    def sweep(self, r: Restaurants, tables, seed: int) -> Seating:
+        """tables: those of the bucket's contexts, all buckets' together."""
         import numpy as np
 
         rng = np.random.default_rng(seed)
         p0 = r.root(self.c0, self.t0)
         p1 = r.parent(self.ctx1, self.c1, self.t1, p0[self.word1])
-        t2 = seat(self.n, (STRENGTH + r.discounts[2] * r.t2[self.ctx]) * p1[self.up], r.discounts[2], rng)
-        c1 = np.bincount(self.up, t2, len(self.c1)).astype("i8")
+        p2 = r.fine(self.ctx2, self.c2, self.t2, p1[self.up2])
+        t3 = seat(self.n, (STRENGTH + r.discounts[3] * tables[self.at]) * p2[self.up3], r.discounts[3], rng)
+        c2 = np.bincount(self.up3, t3, len(self.c2)).astype("i8")
+        t2 = seat(c2, (STRENGTH + r.discounts[2] * r.t2[self.ctx2]) * p1[self.up2], r.discounts[2], rng)
+        c1 = np.bincount(self.up2, t2, len(self.c1)).astype("i8")
         t1 = seat(c1, (STRENGTH + r.discounts[1] * r.t1[self.ctx1]) * p0[self.word1], r.discounts[1], rng)
         c0 = np.bincount(self.word1, t1, self.words).astype("i8")
         t0 = seat(c0, np.full(self.words, (STRENGTH + r.discounts[0] * r.t0[0]) / (r.vocabulary + 1)), r.discounts[0], rng)
-        return Seating(self.word, self.ctx, self.n, self.words, t2, t1, t0)
+        return Seating(self.base, t3, t2, t1, t0)
 
     def totals(self) -> dict:
         import numpy as np
 
         count = lambda at, x, size: np.bincount(at, x, size).tolist()
-        ones = [[float((x == 1).sum()), float((x == 2).sum())] for x in (self.c0, self.c1, self.n)]
+        ones = [[float((x == 1).sum()), float((x == 2).sum())] for x in (self.c0, self.c1, self.c2, self.n)]
         return {
-            "n2": count(self.ctx, self.n, FINE + 1), "t2": count(self.ctx, self.t2, FINE + 1), "n1": count(self.ctx1, self.c1, COARSE + 1), "t1": count(self.ctx1, self.t1, COARSE + 1),
-            "n0": [float(self.c0.sum())], "t0": [float(self.t0.sum())], "ones": sum(ones, []), "words": [float(self.words)],
+            "n2": count(self.ctx2, self.c2, FINE + 1), "t2": count(self.ctx2, self.t2, FINE + 1), "n1": count(self.ctx1, self.c1, COARSE + 1), "t1": count(self.ctx1, self.t1, COARSE + 1),
+            "n0": [float(self.c0.sum())], "t0": [float(self.t0.sum())], "ones": sum(ones, []), "words": [float(self.words)], "tokens": [float(self.n.sum())],
         }
 
+    def sent(self, buckets: int) -> list:
+        """Per range of contexts: the bucket's contexts in it, their customers and their tables here."""
+        import numpy as np
+
+        c = self.contexts
+        n, t = (np.bincount(self.at, x, len(c)).astype("<u4") for x in (self.n, self.t3))
+        cuts = np.searchsorted(span(c, buckets), np.arange(buckets + 1))
+        return [c[a:b].astype("<i8").tobytes() + n[a:b].tobytes() + t[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
     def pack(self) -> bytes:
-        return b"".join(x.astype("<u4").tobytes() for x in (self.t2, self.t1, self.t0))
+        return b"".join(x.astype("<u4").tobytes() for x in (self.t3, self.t2, self.t1, self.t0))
 
     @classmethod
     def unpack(cls, base, data: bytes) -> Seating:
         import numpy as np
 
-        word, ctx, n, words = base
+        word, ctx, words = base[0], base[1], base[3]
         flat = np.frombuffer(data, "<u4").astype("i8")
         m = len(word)
-        return cls(word, ctx, n, words, flat[:m], flat[m : len(flat) - words], flat[len(flat) - words :])
+        m2 = len(np.unique(word * (FINE + 1) + fine(ctx)))
+        return cls(base, flat[:m], flat[m : m + m2], flat[m + m2 : len(flat) - words], flat[len(flat) - words :])
 
 
-STATE = "part int, words binary, pairs binary, seating array<binary>, totals map<string, array<double>>"
+STATE = "part int, words binary, pairs binary, seating array<binary>, totals map<string, array<double>>, sent array<binary>"
 
 
-def _state_row(part, words, pairs, seatings):
-    return pa.RecordBatch.from_pylist([{"part": part, "words": words, "pairs": pairs, "seating": seatings, "totals": list(Seating.unpack(_base(words, pairs), seatings[-1]).totals().items())}], schema=pa.schema([("part", pa.int32()), ("words", pa.binary()), ("pairs", pa.binary()), ("seating", pa.list_(pa.binary())), ("totals", pa.map_(pa.string(), pa.list_(pa.float64())))]))
+def _state_row(part, words, pairs, seatings, s: Seating, buckets: int):
+    return pa.RecordBatch.from_pylist([{"part": part, "words": words, "pairs": pairs, "seating": seatings, "totals": list(s.totals().items()), "sent": s.sent(buckets)}], schema=pa.schema([("part", pa.int32()), ("words", pa.binary()), ("pairs", pa.binary()), ("seating", pa.list_(pa.binary())), ("totals", pa.map_(pa.string(), pa.list_(pa.float64()))), ("sent", pa.list_(pa.binary()))]))
 
 
 def _base(words: bytes, pairs: bytes):
-    """(word of each pair, context, count, number of words) from a state row."""
+    """(word, context and count of each pair, number of words, all contexts, place in them of each pair) from a state row."""
     import numpy as np
 
-    n = len(words) // 8
-    m = len(pairs) // 10
-    return np.frombuffer(pairs, "<u4", m).astype("i8"), np.frombuffer(pairs, "<u2", m, 4 * m).astype("i8"), np.frombuffer(pairs, "<u4", m, 6 * m).astype("i8"), n
+    k = int.from_bytes(pairs[:8], "little")
+    contexts = np.frombuffer(pairs, "<i8", k, 8)
+    word, at, n = np.frombuffer(pairs, "<u4", -1, 8 + 8 * k).reshape(3, -1).astype("i8") if len(pairs) > 8 + 8 * k else np.zeros((3, 0), "i8")
+    return word, contexts[at], n, len(words) // 8, contexts, at
+
+
+def _meet(state: DataFrame, buckets: int) -> str:
+    """The folder of a file per range of contexts: their totals over all buckets, a slice for each bucket and all of them."""
+    folder = f"{shared_uri(state.sparkSession)}/contexts-{uuid.uuid4().hex}"
+
+    def add(key, pdf):
+        import numpy as np
+        import pandas as pd
+        from pyarrow import fs
+
+        parts = []
+        for data in pdf["payload"]:
+            m = len(data) // 16
+            parts.append((np.frombuffer(data, "<i8", m), *np.frombuffer(data, "<u4", 2 * m, 8 * m).reshape(2, m)))
+        keys, inv = np.unique(np.concatenate([c for c, _, _ in parts]), return_inverse=True)
+        n, t = (np.bincount(inv, np.concatenate([p[k] for p in parts]), len(keys)).astype("<u4") for k in (1, 2))
+        cuts = np.cumsum([0, *(len(c) for c, _, _ in parts)])
+        slices_ = {p: inv[a:b] for p, a, b in zip(pdf["part"], cuts, cuts[1:])}
+        ends = 8 * (buckets + 1) + 8 * np.cumsum([0, *(len(slices_.get(p, ())) for p in range(buckets))])
+        system, base = fs.FileSystem.from_uri(folder)
+        system.create_dir(base, recursive=True)
+        own = f"{base}/{key[0]}.{uuid.uuid4().hex}"
+        with system.open_output_stream(own) as out:
+            out.write(ends.astype("<i8").tobytes())
+            for p in sorted(slices_):
+                out.write(n[slices_[p]].tobytes() + t[slices_[p]].tobytes())
+            out.write(keys.astype("<i8").tobytes() + n.tobytes() + t.tobytes())
+        system.move(own, f"{base}/{key[0]}")
+        return pd.DataFrame({"n": [len(keys)]})
+
+    rows = state.select("part", F.posexplode("sent").alias("span", "payload")).where(F.length("payload") > 0)
+    rows.groupBy("span").applyInPandas(add, "n long").agg(F.sum("n")).collect()
+    return folder
 
 
 def _sum_totals(state: DataFrame) -> dict:
@@ -344,38 +459,49 @@ def train(rows: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 1) -> Tra
         import numpy as np
         import pandas as pd
 
-        words, word, ctx, n = merge(pdf["payload"])
-        pairs = b"".join([word.astype("<u4").tobytes(), ctx.astype("<u2").tobytes(), n.astype("<u4").tobytes()])
-        first = Seating(word, ctx, n, len(words), np.minimum(n, 1))
-        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "words": [words.astype("<u8").tobytes()], "pairs": [pairs], "seating": [[first.pack()]], "totals": [first.totals()]})
+        words, word, at, n, contexts = merge(pdf["payload"])
+        pairs = b"".join([len(contexts).to_bytes(8, "little"), contexts.astype("<i8").tobytes(), *(x.astype("<u4").tobytes() for x in (word, at, n))])
+        first = Seating((word, contexts[at], n, len(words), contexts, at), np.minimum(n, 1))
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "words": [words.astype("<u8").tobytes()], "pairs": [pairs], "seating": [[first.pack()]], "totals": [first.totals()], "sent": [first.sent(buckets)]})
 
     # one Python step a stage: each further one would keep a worker of its own per core
     state = written(_send(rows, block_words, buckets, True).groupBy("part").applyInPandas(gather, STATE), "state")
     totals = _sum_totals(state)
     if not totals:
         return Trained(state, [], 0, 0)
-    tokens, vocabulary = int(sum(totals["n2"])), int(totals["words"][0])
+    tokens, vocabulary = int(totals["tokens"][0]), int(totals["words"][0])
     ones = totals["ones"]
     discounts = [min(0.95, max(0.1, a / (a + 2 * b))) if a + b else 0.5 for a, b in zip(ones[::2], ones[1::2])]
     kept = []
+    r = Restaurants(totals, vocabulary, discounts, _meet(state, buckets), buckets)
     for step in range(BURN_IN + SAMPLES):
-        sent = spark.sparkContext.broadcast(Restaurants(totals, vocabulary, discounts))
+        sent = spark.sparkContext.broadcast(r)
         keep = step > BURN_IN  # the samples so far are kept beside the new one
 
         def sweep(batches, sent=sent, keep=keep, step=step):
             for b in batches:
-                for x in b.to_pylist():
-                    s = Seating.unpack(_base(x["words"], x["pairs"]), x["seating"][-1]).sweep(sent.value, seed * 1_000_003 + step * 65_537 + x["part"])
-                    yield _state_row(x["part"], x["words"], x["pairs"], [*(x["seating"] if keep else []), s.pack()])
+                for k in range(b.num_rows):
+                    x = b.slice(k, 1).to_pylist()[0]
+                    s = Seating.unpack(_base(x["words"], x["pairs"]), x["seating"][-1])
+                    s = s.sweep(sent.value, sent.value.local(x["part"])[1], seed * 1_000_003 + step * 65_537 + x["part"])
+                    yield _state_row(x["part"], x["words"], x["pairs"], [*(x["seating"] if keep else []), s.pack()], s, buckets)
 
-        before, state = state, written(state.mapInArrow(sweep, STATE), "state")
+        before, state = state, written(state.drop("sent", "totals").mapInArrow(sweep, STATE), "state")
         discard(before)
+        if step <= BURN_IN:  # no kept sample's
+            _remove(spark, r.folder)
         totals = _sum_totals(state)
+        r = Restaurants(totals, vocabulary, discounts, _meet(state, buckets), buckets)
         if step >= BURN_IN:
-            kept.append(Restaurants(totals, vocabulary, discounts))
+            kept.append(r)
     return Trained(state, kept, tokens, vocabulary)
 
 
+def _remove(spark, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _probabilities(model, row, words, word, ctx):
     """(log10 probability of each pair, training count of each word): pairs (word, ctx) over `words` hashes, a bucket's state row or None."""
     import numpy as np
@@ -386,7 +512,7 @@ def _probabilities(model, row, words, word, ctx):
         if restaurants:  # a bucket without training words
             p = np.zeros(len(word))
             for r in restaurants:
-                p += r.fine(ctx, 0, 0, r.parent(coarse(ctx), 0, 0, r.root(0, 0)))
+                p += r.word(*r.lookup(ctx), 0, 0, r.fine(fine(ctx), 0, 0, r.parent(coarse(ctx), 0, 0, r.root(0, 0))))
             p /= len(restaurants)
         return np.log10(p), np.zeros(len(words), "i8")
     known = np.frombuffer(row["words"], "<u8")
@@ -394,8 +520,14 @@ def _probabilities(model, row, words, word, ctx):
     at = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
     there = known[at] == words if len(known) else np.zeros(len(words), bool)
     slot = np.where(there, at, len(known))  # one place more, empty, for unknown words
+    contexts = base[4]
+    place = np.minimum(np.searchsorted(contexts, ctx), max(0, len(contexts) - 1))
+    strange = np.flatnonzero(contexts[place] != ctx) if len(contexts) else np.arange(len(ctx))  # of no text in this bucket
     p = np.zeros(len(word))
     for r, packed in zip(restaurants, row["seating"]):
+        n, t = (x[place] if len(contexts) else np.zeros(len(ctx)) for x in r.local(row["part"]))
+        if len(strange):
+            n[strange], t[strange] = r.lookup(ctx[strange])
         s = Seating.unpack(base, packed)
         p0 = r.root(np.append(s.c0, 0), np.append(s.t0, 0))
         w = slot[word]
@@ -406,8 +538,11 @@ def _probabilities(model, row, words, word, ctx):
             return [np.where(ok, v[i], 0) if len(keys) else np.zeros(len(wanted)) for v in values]
 
         c1, t1 = find(s.word1 * (COARSE + 1) + s.ctx1, w * (COARSE + 1) + coarse(ctx), s.c1, s.t1)
-        c2, t2 = find(s.word * (FINE + 1) + s.ctx, w * (FINE + 1) + ctx, s.n, s.t2)
-        p += r.fine(ctx, c2, t2, r.parent(coarse(ctx), c1, t1, p0[w]))
+        c2, t2 = find(s.word2 * (FINE + 1) + s.ctx2, w * (FINE + 1) + fine(ctx), s.c2, s.t2)
+        p2 = r.fine(fine(ctx), c2, t2, r.parent(coarse(ctx), c1, t1, p0[w]))
+        size = len(contexts) + 1
+        c3, t3 = find(s.word * size + s.at, w * size + np.where(contexts[place] == ctx, place, len(contexts)) if len(contexts) else w, s.n, s.t3)
+        p += r.word(n, t, c3, t3, p2)
     total = np.append(np.bincount(base[0], base[2], base[3]), 0).astype("i8")
     return np.log10(p / len(restaurants)), total[slot]
 

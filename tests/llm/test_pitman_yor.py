@@ -68,3 +68,13 @@ def test_seating_matches_the_process():
         total = sum(exact.values())
         drawn = py.seat(np.full(50_000, n), np.full(50_000, a), d, np.random.default_rng(0), draws, small)
         assert all(abs((drawn == t).mean() - w / total) < bound for t, w in exact.items()), (n, small, draws)
+
+
+def test_the_word_before_counts(spark):
+    """Two words before with the same ending: only which of them it was tells the next word."""
+    r = random.Random(3)
+    rows = [(i, " ".join(" ".join(r.choice([("stablexy", "left"), ("marblexy", "right")])) for _ in range(40))) for i in range(200)]
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2]
+    got = {x.doc_id: x for x in py.score(table(spark, rows)).collect()}
+    per_word = [got[i].score / got[i].n_tokens for i in held]
+    assert len(held) > 10 and min(per_word) > -0.22, min(per_word)  # half of the words are certain; a coin is 0.301
