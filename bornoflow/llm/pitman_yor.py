@@ -9,13 +9,14 @@ Plan:
 1. Blocks of documents send, per bucket of word hashes, their distinct (word, context) pairs with training counts,
    packed into one binary row. A bucket's reducer adds them up: one row of state per bucket, in the shared folder. It
    also lists the contexts of pairs that only held-out texts have: the scores need those contexts' totals.
-2. Sweeps of Gibbs sampling: each bucket reseats, dish by dish, all customers of a restaurant one after the other by
-   the Chinese restaurant process given everything else: up to SMALL customers exactly, above that as one of DRAWS such
-   seatings, chosen by its importance weight. Tables of a restaurant are customers of its parent. Buckets meet once a
-   sweep through the totals of restaurants; within a sweep those stay as they were (as in approximate distributed
-   sampling). Those of classes and the root are an array of fixed size. Those of word contexts are shuffled by ranges of
-   contexts, added up, and written to one file per range, where each bucket finds the slice of its own contexts. From the
-   STEADY-th customer of a dish on, customers are seated in lots of 1/16 of those present.
+2. Sweeps of Gibbs sampling: each bucket reseats, dish by dish, all customers of a restaurant by the Chinese restaurant
+   process given everything else. With weight a for a new table, t tables for n customers have the probability
+   a^t S(n, t), S being the generalized Stirling numbers of the restaurant's discount: up to SMALL customers worked out
+   customer by customer, up to ROWS from a table of log S, above that from their saddlepoint approximation. Tables of a
+   restaurant are customers of its parent. Buckets meet once a sweep through the totals of restaurants; within a sweep
+   those stay as they were (as in approximate distributed sampling). Those of classes and the root are an array of fixed
+   size. Those of word contexts are shuffled by ranges of contexts, added up, and written to one file per range, where
+   each bucket finds the slice of its own contexts.
 3. Kept samples' predictive probabilities are averaged. Each block's pairs meet the state in their bucket again, the
    answers (log10 probability of each pair, training count of each word) go to one file per block in the shared folder,
    and the blocks, formed again, add them up per document.
@@ -30,6 +31,7 @@ table without training documents uniform probabilities; extra columns are ignore
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 import pyarrow as pa
@@ -42,7 +44,7 @@ from .substring_dedup import _pack, _unpack as _unpack_hashes
 BLOCK_WORDS = 500_000
 COARSE, FINE = 64, 1024  #: context classes by the last character, and by the last two
 CLASS_BITS, HASH_BITS = 11, 52  #: a context is a hash of the word before, over its class; the start of a text is FINE
-BURN_IN, SAMPLES, DRAWS, SMALL, STEADY, STRENGTH = 2, 2, 4, 16, 32, 1.0
+BURN_IN, SAMPLES, DRAWS, SMALL, ROWS, STRENGTH = 2, 2, 24, 16, 512, 1.0
 END = " end"  #: no word: words hold no space
 FOLDS, HELD = 7, 2
 
@@ -166,11 +168,99 @@ def span(c, buckets: int):
     return (c >> (CLASS_BITS + HASH_BITS - 30)) * buckets >> 30
 
 
+@functools.cache
+def stirling(discount: float):
+    """log S(n, t) of the generalized Stirling numbers at [n, t], n and t up to ROWS: S(n + 1, t) = S(n, t - 1) + (n - discount t) S(n, t)."""
+    import numpy as np
+
+    out = np.full((ROWS + 1, ROWS + 1), -np.inf)
+    out[1, 1] = 0
+    for n in range(1, ROWS):
+        t = np.arange(1, n + 1)
+        out[n + 1, 1 : n + 1] = out[n, 1 : n + 1] + np.log(n - discount * t)
+        out[n + 1, 1 : n + 2] = np.logaddexp(out[n + 1, 1 : n + 2], out[n, : n + 1])
+    return out
+
+
+def log_gamma(x):
+    """log Gamma of positive numbers, by Stirling's series from 10 on."""
+    import numpy as np
+
+    x = np.asarray(x, "f8")
+    y = x + 10
+    series = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
+    return series - sum(np.log(x + k) for k in range(10))
+
+
+def _few_tables(n, t, discount: float):
+    """log S(n, t) for t of up to half of n^discount, or 6: the alternating sum of rising factorials."""
+    import math
+
+    import numpy as np
+
+    total, term = np.zeros(np.broadcast(n, t).shape), 1.0
+    for j in range(1, 41):
+        term = term * (np.maximum(t - j + 1, 0) / j) * (np.exp(log_gamma(n - j * discount) - log_gamma(n - (j - 1) * discount)) if j > 1 else 1.0)
+        total += (-1) ** (j + 1) * term * (math.gamma(1 + j * discount) * math.sin(math.pi * j * discount) / math.pi)
+    return np.log(np.maximum(total, 1e-300)) + log_gamma(n - discount) - t * math.log(discount) - log_gamma(t + 1.0)
+
+
+def _saddle(n, t, discount: float):
+    """log S(n, t), about: by the saddlepoint of n! / t! [z^n] ((1 - (1 - z)^d) / d)^t."""
+    import numpy as np
+
+    d, m = discount, n / t
+    lo, hi = np.full(m.shape, -700.0), np.zeros(m.shape)  # 1 - z = e^u
+    for _ in range(42):
+        u = (lo + hi) / 2
+        more = -np.expm1(u) * d * np.exp((d - 1) * u) > -m * np.expm1(d * u)
+        lo, hi = np.where(more, u, lo), np.where(more, hi, u)
+    u = np.minimum((lo + hi) / 2, -1e-9)
+    z, f, g = -np.expm1(u), -np.expm1(d * u), d * np.exp((d - 1) * u)
+    spread = z * g / f + z * z * d * (1 - d) * np.exp((d - 2) * u) / f - (z * g / f) ** 2  # the variance of a table's size
+    out = t * (np.log(f) - np.log(d)) - n * np.log(z) - 0.5 * np.log(2 * np.pi * t * np.maximum(spread, 1e-300)) + log_gamma(n + 1) - log_gamma(t + 1)
+    return np.where(t < n, out, 0.0)
+
+
+def log_stirling(n, t, discount: float):
+    """log S(n, t) + a term of n alone, for n above ROWS: exact for few tables, from there on by the saddlepoint."""
+    import numpy as np
+
+    n, t = np.asarray(n, "f8"), np.asarray(t, "f8")
+    last = np.maximum(6, np.floor(0.5 * n**discount))
+    out, more = _few_tables(n, np.minimum(t, last), discount), t > last
+    n, last = np.broadcast_to(n, out.shape), np.broadcast_to(last, out.shape)
+    out[more] += _saddle(n[more], t[more], discount) - _saddle(n[more], last[more], discount)
+    return out
+
+
+def _many(n, new, discount: float, rng, points: int):
+    """seat() of dishes of more than ROWS customers: the mode by bisection, then a draw from a grid of 2 points + 1 steps around it, evenly within a step."""
+    import numpy as np
+
+    la = np.log(new)
+    rise = lambda t: log_stirling(n, t + 1, discount) - log_stirling(n, t, discount) + la  # noqa: E731  falls in t
+    lo, hi = np.ones(len(n)), n - 1.0
+    while (lo < hi).any():
+        mid = np.floor((lo + hi) / 2)
+        up = rise(mid) > 0
+        lo, hi = np.where(up & (lo < hi), mid + 1, lo), np.where(up, hi, np.minimum(mid, hi))
+    bend = np.maximum(rise(np.maximum(lo - 1, 1)) - rise(np.maximum(lo - 1, 1) + 1), 1e-12)  # of the logarithm, at the mode
+    step = np.maximum(1, np.ceil((5 / np.sqrt(bend) + 8) / points))[:, None]
+    grid = lo[:, None] + step * np.arange(-points, points + 1)
+    inside = (grid >= 1) & (grid <= n[:, None])
+    at = np.clip(grid, 1, n[:, None])
+    weight = np.where(inside, log_stirling(n[:, None], at, discount) + la[:, None] * at, -np.inf)
+    pick = (weight + rng.gumbel(size=weight.shape)).argmax(1)
+    drawn = grid[np.arange(len(n)), pick] + np.floor((rng.random(len(n)) - 0.5) * step[:, 0] + 0.5)
+    return np.clip(drawn, 1, n)
+
+
 def seat(n, new, discount: float, rng, draws: int = DRAWS, small: int = SMALL):
-    """Numbers of tables of dishes with n customers each; `new` weighs a new table.
+    """Numbers of tables of dishes with n customers each, from their conditional distribution; `new` weighs a new table.
 
-    Dishes of up to `small` customers are drawn from the exact conditional distribution, worked out customer by customer;
-    larger ones are seated in turn, `draws` times, and one seating is chosen by weight: the more, the nearer to exact.
+    Dishes of up to `small` customers are worked out customer by customer, of up to ROWS by the table of Stirling
+    numbers, both exactly; larger ones by `draws` points of a grid on either side of the mode.
     """
     import numpy as np
 
@@ -190,28 +280,17 @@ def seat(n, new, discount: float, rng, draws: int = DRAWS, small: int = SMALL):
             ways[:, :live] = grown / grown.sum(0)
         upto = np.cumsum(ways, 0)
         tables[few] = (upto < rng.random(len(few)) * upto[-1]).sum(0)
-    many = np.flatnonzero(n > max(1, small))
-    if not len(many):
-        return tables.astype("i8")
-    many = many[np.argsort(-n[many], kind="stable")]
-    size, a = n[many], new[many]
-    drawn, weight = np.zeros((draws, len(many))), np.zeros((draws, len(many)))
-    for k in range(draws):
-        t, w, s, live = np.ones(len(many)), np.zeros(len(many)), 1, len(many)
-        while True:
-            live = int(np.searchsorted(-size[:live], -s, side="left"))  # those with more than s customers
-            if not live:
-                break
-            lot = 1 if s < STEADY else s // 16
-            lots = np.minimum(lot, size[:live] - s)
-            total = a[:live] + np.maximum(s - discount * t[:live], 1e-12)
-            p = a[:live] / total
-            t[:live] += rng.random(live) < p if lot == 1 else rng.binomial(lots, p)
-            w[:live] += lots * np.log(total)
-            s += lot
-        drawn[k], weight[k] = t, w
-    gumbel = weight + rng.gumbel(size=weight.shape)
-    tables[many] = drawn[gumbel.argmax(0), np.arange(len(many))]
+    rest = np.flatnonzero((n > max(1, small)) & (n <= ROWS))
+    rest = rest[np.argsort(n[rest], kind="stable")]
+    for own in np.split(rest, np.flatnonzero(np.diff(n[rest])) + 1) if len(rest) else []:
+        size = int(n[own[0]])
+        for some in np.array_split(own, -(-len(own) * size // 2_000_000)):
+            w = stirling(discount)[size, 1 : size + 1] + np.log(new[some])[:, None] * np.arange(1, size + 1)
+            upto = np.cumsum(np.exp(w - w.max(1, keepdims=True)), 1)
+            tables[some] = 1 + (upto < (rng.random(len(some)) * upto[:, -1])[:, None]).sum(1)
+    many = np.flatnonzero(n > max(1, small, ROWS))
+    for some in np.array_split(many, -(-len(many) // 5_000)) if len(many) else []:
+        tables[some] = _many(n[some], new[some], discount, rng, draws)
     return tables.astype("i8")
 
 
@@ -502,7 +581,13 @@ def _remove(spark, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _probabilities(model, row, words, word, ctx):
+def _opened(model, row):
+    """What _probabilities needs of a state row, worked out once for all blocks: its base, and each sample's seating and context totals."""
+    base = _base(row["words"], row["pairs"])
+    return base, [(r, Seating.unpack(base, packed), *r.local(row["part"])) for r, packed in zip(model[0], row["seating"])]
+
+
+def _probabilities(model, row, words, word, ctx, opened=None):
     """(log10 probability of each pair, training count of each word): pairs (word, ctx) over `words` hashes, a bucket's state row or None."""
     import numpy as np
 
@@ -516,7 +601,7 @@ def _probabilities(model, row, words, word, ctx):
             p /= len(restaurants)
         return np.log10(p), np.zeros(len(words), "i8")
     known = np.frombuffer(row["words"], "<u8")
-    base = _base(row["words"], row["pairs"])
+    base, samples = opened or _opened(model, row)
     at = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
     there = known[at] == words if len(known) else np.zeros(len(words), bool)
     slot = np.where(there, at, len(known))  # one place more, empty, for unknown words
@@ -524,11 +609,10 @@ def _probabilities(model, row, words, word, ctx):
     place = np.minimum(np.searchsorted(contexts, ctx), max(0, len(contexts) - 1))
     strange = np.flatnonzero(contexts[place] != ctx) if len(contexts) else np.arange(len(ctx))  # of no text in this bucket
     p = np.zeros(len(word))
-    for r, packed in zip(restaurants, row["seating"]):
-        n, t = (x[place] if len(contexts) else np.zeros(len(ctx)) for x in r.local(row["part"]))
+    for r, s, customers, tables in samples:
+        n, t = (x[place] if len(contexts) else np.zeros(len(ctx)) for x in (customers, tables))
         if len(strange):
             n[strange], t[strange] = r.lookup(ctx[strange])
-        s = Seating.unpack(base, packed)
         p0 = r.root(np.append(s.c0, 0), np.append(s.t0, 0))
         w = slot[word]
 
@@ -561,10 +645,11 @@ def score(docs: DataFrame, block_words: int = BLOCK_WORDS, repeatable: bool = Fa
         import pandas as pd
 
         row = state.iloc[0] if len(state) else None
+        opened = _opened(sent.value, row) if sent.value[0] and row is not None else None
         out = []
         for block, payload in zip(asked["block"], asked["payload"]):
             h, w, c, _ = _unpack(payload, False)
-            logs, counts = _probabilities(sent.value, row, h, w, c.astype("i8"))
+            logs, counts = _probabilities(sent.value, row, h, w, c.astype("i8"), opened)
             out.append((key[0], block, logs.astype("<f4").tobytes(), _small(counts), len(h)))
         return pd.DataFrame(out, columns=["part", "block", "logs", "counts", "n"]).astype({"part": np.int32, "n": np.int64})
 

@@ -78,3 +78,17 @@ def test_the_word_before_counts(spark):
     got = {x.doc_id: x for x in py.score(table(spark, rows)).collect()}
     per_word = [got[i].score / got[i].n_tokens for i in held]
     assert len(held) > 10 and min(per_word) > -0.22, min(per_word)  # half of the words are certain; a coin is 0.301
+
+
+def test_large_dishes_match_the_process():
+    for n, a, d in ((100, 5.0, 0.7), (1000, 50.0, 0.7), (5000, 500.0, 0.8), (5000, 1e-4, 0.5), (600, 0.3, 0.3), (2000, 2.0, 0.95), (2000, 0.05, 0.1)):
+        w = np.full(n + 2, -np.inf)
+        w[1] = 0
+        for s in range(1, n):
+            w[1 : s + 2] = np.logaddexp(w[1 : s + 2] + np.log(np.maximum(s - d * np.arange(1, s + 2), 1e-300)), w[: s + 1] + math.log(a))
+        p = np.exp(w - w.max())
+        p /= p.sum()
+        t = np.arange(len(p))
+        mean, sd = (p * t).sum(), math.sqrt((p * t * t).sum() - (p * t).sum() ** 2)
+        drawn = py.seat(np.full(5_000, n), np.full(5_000, a), d, np.random.default_rng(0))
+        assert abs(drawn.mean() - mean) < 0.06 * sd + 0.01 and abs(drawn.std() - sd) < 0.06 * sd + 0.01, (n, a, d, mean, sd, drawn.mean(), drawn.std())
