@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bornoflow.llm import byte_bpe, line_dedup, mixing, quality, simhash
+from bornoflow.llm import byte_bpe, line_dedup, mixing, quality, shingle_sets, simhash
 from bornoflow.llm.common import read, shared_dir
+from bornoflow.llm.components import connected
 
 #: SQL can't express the learned classifier, SimHash or BPE; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
@@ -27,12 +28,25 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates; documents without id stay."""
+    """The document of smallest id of each group of near duplicates by op10's rule alone; documents without id stay."""
     chosen = simhash.near_duplicates(docs).select(F.col("component_id").alias("doc_id")).where("doc_id is not null").distinct()
     kept = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))
 
 
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of near duplicates; documents without id stay.
+
+    Texts are linked by fingerprints of 3 differing bits or fewer, as in op10, and by five-word shingles of Jaccard similarity 0.8 or more."""
+    rows = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "doc_id", "text")
+    prints = simhash.near_duplicates(rows.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    roots = connected(prints.unionByName(shingle_sets.links(rows.select("key", "text"))))
+    owner = rows.select("key", "doc_id").join(roots, F.col("key") == F.col("node"), "left").select("doc_id", F.coalesce("root", "key").alias("root"))
+    chosen = owner.groupBy("root").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null").select("doc_id").distinct()
+    kept = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; rows of equal id and text count as one taken more often."""
     copies = F.sum(F.col("epochs") + (F.col("part") > 0).cast("long")).alias("_copies")
@@ -53,7 +67,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality", classify),
     ("lines", dedup_lines),
-    ("near_duplicates", drop_near_duplicates),
+    ("near_duplicates", drop_similar),
     ("mix", mix_sources),
     ("tokens", tokenize),
 ]

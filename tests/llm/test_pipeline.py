@@ -1,4 +1,5 @@
 import base64
+import random
 import struct
 
 import corpus_pipeline
@@ -19,6 +20,23 @@ def test_near_duplicates_keep_the_smallest(spark):
     assert got == {i for i in fp if group[i] == i}
 
 
+def test_near_duplicates_of_similar_shingles(spark):
+    """Texts of Jaccard similarity 0.8 to 0.95 over five-word shingles go, those below stay."""
+    r = random.Random(8)
+    rows, want = [], set()
+    for k in range(40):
+        w = [f"w{r.randrange(10**6)}" for _ in range(200)]
+        edited = list(w)
+        for at in range(20, 20 + 30 * (1 + k % 6), 30):  # each replaced word changes five shingles
+            edited[at] = "Z"
+        grams = [{tuple(x[i : i + 5]) for i in range(196)} for x in (w, edited)]
+        similar = len(grams[0] & grams[1]) / len(grams[0] | grams[1]) >= 0.8
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(edited))]
+        want |= {2 * k} if similar else {2 * k, 2 * k + 1}
+    assert 40 < len(want) < 75
+    assert {x.doc_id for x in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, table(spark, rows), "").collect()} == want
+
+
 def test_mix_copies(spark):
     from bornoflow.llm import mixing
 
