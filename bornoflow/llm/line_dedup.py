@@ -2,7 +2,8 @@
 
 Lines (cut at line feeds) are compared as sequences of words, lower-cased, white space dropped. A line goes if an
 earlier one, in the order of (doc_id, line number), is equal or, for lines of MIN_WORDS words or more, within one
-inserted, deleted or replaced word (a similarity of 0.8 or more). Lines are judged on the input, not on what is left;
+inserted, deleted or replaced word, whatever their length: a similarity of 0.8 for 5 words, but of 0.98 for 50, so long
+lines that differ in two words or more both stay. Lines are judged on the input, not on what is left;
 lines without words stay.
 
 Plan:
