@@ -35,16 +35,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates; documents without id stay.
+    """The document of smallest id of each group of near duplicates, null ids last; of rows of equal id the one of smallest text hash.
 
     Texts are linked by fingerprints of 3 differing bits or fewer, as in op10, and by five-word shingles of Jaccard similarity 0.8 or more."""
     rows = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "doc_id", "text")
     prints = simhash.near_duplicates(rows.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
     roots = connected(prints.unionByName(shingle_sets.links(rows.select("key", "text"))))
-    owner = rows.select("key", "doc_id").join(roots, F.col("key") == F.col("node"), "left").select("doc_id", F.coalesce("root", "key").alias("root"))
-    chosen = owner.groupBy("root").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null").select("doc_id").distinct()
-    kept = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    owner = rows.select("key", "doc_id").join(roots, F.col("key") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("x")
+    chosen = owner.groupBy("root").agg(least).select(F.col("x.doc_id").alias("_id"), F.col("x.key").alias("_key"))
+    own = docs.withColumn("_own", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = own.join(chosen, (F.col("_own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_own"]).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

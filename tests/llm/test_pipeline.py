@@ -37,6 +37,13 @@ def test_near_duplicates_of_similar_shingles(spark):
     assert {x.doc_id for x in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, table(spark, rows), "").collect()} == want
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{x}{k * k}" for k in range(20)) for x in "abc")
+    rows = [(1, a), (1, b), (1, b), (2, a), (None, b), (None, c), (None, c)]
+    got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, table(spark, rows), "").select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, a), (1, b), (None, c)], key=str)
+
+
 def test_mix_copies(spark):
     from bornoflow.llm import mixing
 
