@@ -1,28 +1,30 @@
 """LM scoring with a hierarchical Pitman-Yor model.
 
-Restaurants: a word is drawn from the restaurant of its context, the word before (a 52-bit hash; the start of a text
-has its own); that one's parent is the restaurant of the class of the word before, its last two characters hashed to
-1024; the parent of that is the one of its last character (64 classes), and theirs the root restaurant over words,
-whose base is uniform over the V training words and one unknown. Words, contexts and counts are all unbounded.
+Restaurants: a word is drawn from the restaurant of its context, the word before (the start of a text has its own);
+that one's parent is the restaurant of the class of the word before, its last two characters hashed to 1024; the
+parent of that is the one of its last character (64 classes), and theirs the root restaurant over words, whose base is
+uniform over the V training words and one unknown. Words, contexts and counts are all unbounded. A word is known by a
+64-bit hash, as a context by its class and 37 more bits.
 
 Plan:
-1. Blocks of documents send, per bucket of word hashes, their distinct (word, context) pairs with training counts,
-   packed into one binary row. A bucket's reducer adds them up: one row of state per bucket, in the shared folder. It
-   also lists the contexts of pairs that only held-out texts have: the scores need those contexts' totals.
-2. Sweeps of Gibbs sampling: each bucket reseats, dish by dish, all customers of a restaurant by the Chinese restaurant
+1. Blocks of documents, formed once, send per bucket of word hashes their distinct (word, context) pairs with training
+   counts, packed into one binary row. Which pair stands at which token stays in one file per block in the shared folder.
+2. A bucket's reducer adds the pairs up and keeps them, with each block's pairs as places among them, in one file.
+3. Sweeps of Gibbs sampling: each bucket reseats, dish by dish, all customers of a restaurant by the Chinese restaurant
    process given everything else. With weight a for a new table, t tables for n customers have the probability
    a^t S(n, t), S being the generalized Stirling numbers of the restaurant's discount: up to SMALL customers worked out
    customer by customer, up to ROWS from a table of log S, above that from their saddlepoint approximation. Tables of a
    restaurant are customers of its parent. Buckets meet once a sweep through the totals of restaurants; within a sweep
-   those stay as they were (as in approximate distributed sampling). Those of classes and the root are an array of fixed
-   size. Those of word contexts are shuffled by ranges of contexts, added up, and written to one file per range, where
-   each bucket finds the slice of its own contexts.
-3. Kept samples' predictive probabilities are averaged. Each block's pairs meet the state in their bucket again, the
-   answers (log10 probability of each pair, training count of each word) go to one file per block in the shared folder,
-   and the blocks, formed again, add them up per document.
+   those stay as they were (as in approximate distributed sampling). Those of classes and the root are arrays of fixed
+   size. Word contexts meet in spans of context hashes: each bucket names its contexts once, later it sends only how
+   many tables beyond one per pair it has in each, and a span answers every bucket with the totals in the same order.
+4. Kept samples' predictive probabilities are averaged, once for every pair of a bucket. Each block gets those of its
+   pairs (log10 to 2^-34) and the training counts of its words, and adds them up per document with the help of its file.
 
-Texts are never shuffled. Blocks are formed thrice, which needs a scan of files (or repeatable=False: input is written
-to a table first). Discounts come from the counts of ones and twos of each level; all random draws have fixed seeds.
+Texts are never shuffled and only read once. Blocks are named by partition and number, so a lost task must form the same
+ones again: a scan of files does; any other input is written to a table first (repeatable=False). A file that a first
+attempt of a task has left is kept. Discounts come from the counts of ones and twos of each level; all random draws have
+fixed seeds. A bucket holds all contexts of its words, so the most frequent word's contexts are one task's.
 
 Defined results: a null text is empty; every text ends with one end token; only A-Z are lower-cased; a null doc_id
 trains and is not held out; repeated rows train as often as they occur; an empty table gives an empty result, and a
@@ -38,23 +40,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, partitions, shared_uri, slices, written
+from . import word_hash
+from .common import discard, freed, partitions, shared_uri, slices, written
 from .substring_dedup import _pack, _unpack as _unpack_hashes
 
-BLOCK_WORDS = 500_000
-COARSE, FINE = 64, 1024  #: context classes by the last character, and by the last two
-CLASS_BITS, HASH_BITS = 11, 52  #: a context is a hash of the word before, over its class; the start of a text is FINE
+BLOCK_WORDS = 2_000_000
+COARSE, FINE = 64, 1024  #: context classes by the last character, and by the last two; one more for the start of a text
+HASH_BITS = 37  #: a context is the class of the word before, over so many bits of its hash
+START, END = FINE << HASH_BITS, 0x5851F42D4C957F2D  #: the context at the start of a text; the end token's hash
 BURN_IN, SAMPLES, DRAWS, SMALL, ROWS, STRENGTH = 2, 2, 24, 16, 512, 1.0
-END = " end"  #: no word: words hold no space
 FOLDS, HELD = 7, 2
-
-
-def context(word: str) -> int:
-    import xxhash
-
-    h = xxhash.xxh32_intdigest
-    own = h(word[-1:].encode("utf-8", "surrogatepass")) % COARSE * (FINE // COARSE) + h(word[-2:].encode("utf-8", "surrogatepass")) % (FINE // COARSE)
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 7) >> (64 - HASH_BITS) << CLASS_BITS | own
+POINT = 34  #: bits after the point of the log10 probabilities that buckets send to blocks, in five bytes
 
 
 def _held(doc_id) -> bool:
@@ -63,49 +59,19 @@ def _held(doc_id) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD
 
 
-class Block:
-    """A block of documents: its distinct words and (word, context) pairs, and where they stand."""
+def _narrow(x, width: int) -> bytes:
+    """The low bytes of unsigned integers."""
+    import numpy as np
 
-    def __init__(self, doc_ids: list, texts: list, digests: list, buckets: int):
-        import re
-        from collections import defaultdict
-        from itertools import count
+    return np.ascontiguousarray(x.astype("<u8").view("u1").reshape(-1, 8)[:, :width]).tobytes()
 
-        import numpy as np
-        import xxhash
-
-        split, number = re.compile(WORD).findall, defaultdict(count().__next__)
-        get = number.__getitem__
-        get(END)
-        rows = [np.array([*map(get, split(t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") if t else "")), 0], "i8") for t in texts]
-        self.name = xxhash.xxh3_128_hexdigest(repr((doc_ids, digests)).encode())
-        self.size = np.array([len(r) for r in rows], "i8")
-        words = list(number)
-        self.hash = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], "u8")
-        after = np.array([context(w) for w in words], "i8")
-        ids = np.concatenate(rows)
-        first = np.cumsum(self.size) - self.size
-        order = np.lexsort((self.hash, self.hash % np.uint64(buckets)))  # words by bucket and hash
-        place = np.empty(len(order), "i8")
-        place[order] = np.arange(len(order))
-        prev = np.concatenate([[0], place[ids[:-1]]])
-        prev[first] = len(order)  # the start of a text
-        key, self.pair = np.unique(place[ids] * (len(order) + 1) + prev, return_inverse=True)
-        train = np.repeat(np.array([not _held(i) for i in doc_ids]), self.size)
-        self.count = np.bincount(self.pair[train], minlength=len(key)).astype("u4")
-        self.word, self.context = key // (len(order) + 1), np.append(after[order], FINE)[key % (len(order) + 1)]
-        self.hash = self.hash[order]
-        self.cuts = np.searchsorted(self.hash % np.uint64(buckets), np.arange(buckets + 1, dtype="u8"))
-        self.pair_cuts = np.searchsorted(self.word, self.cuts)
 
-    def payload(self, p: int, counted: bool) -> bytes:
-        import numpy as np
+def _wide(data: bytes, n: int, at: int, width: int):
+    import numpy as np
 
-        a, b, c, d = self.cuts[p], self.cuts[p + 1], self.pair_cuts[p], self.pair_cuts[p + 1]
-        h = _pack(self.hash[a:b])
-        per_word = np.bincount(self.word[c:d] - a, minlength=b - a)
-        parts = [(b - a).astype("<u4").tobytes(), len(h).to_bytes(4, "little"), h, _small(per_word), self.context[c:d].astype("<i8").tobytes()]
-        return b"".join([*parts, _small(self.count[c:d])] if counted else parts)
+    raw = np.zeros((n, 8), "u1")
+    raw[:, :width] = np.frombuffer(data, "u1", n * width, at).reshape(n, width)
+    return raw.reshape(-1).view("<i8")
 
 
 def _small(x) -> bytes:
@@ -116,7 +82,7 @@ def _small(x) -> bytes:
     return b"".join([len(big).to_bytes(4, "little"), big.astype("<u4").tobytes(), x[big].astype("<u8").tobytes(), np.minimum(x, 255).astype("u1").tobytes()])
 
 
-def _big(data: bytes, n: int, at: int):
+def _big(data: bytes, n: int, at: int = 0):
     """(the n counts of _small() at a place, the place after them)"""
     import numpy as np
 
@@ -126,46 +92,176 @@ def _big(data: bytes, n: int, at: int):
     return x, at + 4 + 12 * k + n
 
 
-def _unpack(data: bytes, counted: bool):
-    """(hashes, word index of each pair, contexts, counts or None)"""
+def _runs(sorted_keys):
+    """(the distinct keys of an ascending array, for each element the place of its key among them)"""
+    import numpy as np
+
+    new = np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]) if len(sorted_keys) else np.zeros(0, bool)
+    return sorted_keys[new], np.cumsum(new) - 1
+
+
+def _distinct(keys):
+    """(distinct keys, ascending; where each occurs; the place of each element's key among them)"""
+    import numpy as np
+
+    order = np.argsort(keys)
+    found, run = _runs(keys[order])
+    place = np.empty(len(keys), "i8")
+    place[order] = run
+    at = np.empty(len(found), "i8")
+    at[place] = np.arange(len(keys))
+    return found, at, place
+
+
+def _put(folder: str, name: str, data: bytes) -> None:
+    """Write a file of the shared folder that any attempt of a task would write alike; one that is there stays."""
+    from pyarrow import fs
+
+    system, base = fs.FileSystem.from_uri(folder)
+    there = lambda: system.get_file_info(f"{base}/{name}").type == fs.FileType.File
+    if there():
+        return
+    system.create_dir(base, recursive=True)
+    own = f"{base}/{name}.{uuid.uuid4().hex}"
+    with system.open_output_stream(own) as out:
+        out.write(data)
+    try:
+        system.move(own, f"{base}/{name}")
+    except OSError:
+        if not there():
+            raise
+        system.delete_file(own)
+
+
+def _get(folder: str, name: str) -> bytes:
+    from pyarrow import fs
+
+    system, base = fs.FileSystem.from_uri(folder)
+    with system.open_input_file(f"{base}/{name}") as f:
+        return f.read()
+
+
+def _arrays(**named) -> bytes:
+    import io
+
+    import numpy as np
+
+    out = io.BytesIO()
+    np.savez(out, **named)
+    return out.getvalue()
+
+
+def _named(data: bytes, *names: str) -> list:
+    import io
+
+    import numpy as np
+
+    with np.load(io.BytesIO(data), allow_pickle=False) as x:
+        return [x[n] for n in names]
+
+
+class Block:
+    """A block of documents: its distinct words and (word, context) pairs, ascending, and which pair stands at each token."""
+
+    def __init__(self, doc_ids: list, texts: list, buckets: int):
+        import numpy as np
+
+        data, bounds = word_hash.texts(texts)
+        data = np.frombuffer(word_hash.LOWER, "u1")[data]
+        starts, lengths, per_text = word_hash.split(data, bounds)
+        self.ids, self.size = doc_ids, per_text + 1
+        ends = np.cumsum(self.size) - 1
+        here = np.ones(ends[-1] + 1, bool)
+        here[ends] = False
+        token = np.full(len(here), END, "u8")
+        token[here] = word_hash.hashes(data, starts, lengths)
+        self.hash, first, word = _distinct(token)
+        at = np.cumsum(here)[first] - 1  # the word that stands there; at the end token any
+        context = np.zeros(len(first), "i8")
+        if len(starts):
+            one, two = word_hash.endings(data, starts[at], lengths[at])
+            context = ((one % np.uint64(COARSE) * np.uint64(FINE // COARSE) + two % np.uint64(FINE // COARSE)) << np.uint64(HASH_BITS) | self.hash >> np.uint64(64 - HASH_BITS)).astype("i8")
+        contexts, rank = np.unique(np.append(context, START), return_inverse=True)
+        before = np.empty(len(word), "i8")
+        before[1:] = rank[word[:-1]]
+        before[0] = before[ends[:-1] + 1] = rank[-1]
+        key, _, self.pair = _distinct(word * len(contexts) + before)
+        train = np.repeat(np.array([not _held(i) for i in doc_ids]), self.size)
+        self.count = np.bincount(self.pair[train], minlength=len(key))
+        self.word, self.context = key // len(contexts), contexts[key % len(contexts)]
+        self.cuts = np.searchsorted(bucket(self.hash, buckets), np.arange(buckets + 1))
+        self.pair_cuts = np.searchsorted(self.word, self.cuts)
+
+    def payload(self, p: int) -> bytes:
+        import numpy as np
+
+        a, b, c, d = self.cuts[p], self.cuts[p + 1], self.pair_cuts[p], self.pair_cuts[p + 1]
+        h = _pack(self.hash[a:b])
+        return b"".join([(b - a).astype("<u4").tobytes(), len(h).to_bytes(4, "little"), h, _small(np.bincount(self.word[c:d] - a, minlength=b - a)), _narrow(self.context[c:d], 6), _small(self.count[c:d])])
+
+    def kept(self) -> bytes:
+        import numpy as np
+
+        planes = [pa.compress(np.ascontiguousarray((self.pair >> 8 * k).astype("u1")), codec="zstd", asbytes=True) for k in range(4)]
+        return _arrays(
+            ids=np.array([0 if i is None else i for i in self.ids], "i8"), none=np.array([i is None for i in self.ids]), size=self.size.astype("u4"),
+            per_word=np.frombuffer(_small(np.bincount(self.word, minlength=len(self.hash))), "u1"), words=np.array([len(self.hash)]), **{f"plane{k}": np.frombuffer(x, "u1") for k, x in enumerate(planes)},
+        )
+
+
+def bucket(hashes, buckets: int):
+    """Of ascending hashes ascending buckets."""
+    import numpy as np
+
+    return (hashes >> np.uint64(33)) * np.uint64(buckets) >> np.uint64(31)
+
+
+def _unpack(data: bytes):
+    """(hashes, word index of each pair, contexts, counts)"""
     import numpy as np
 
     n, size = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:8], "little")
     h = _unpack_hashes(data[8 : 8 + size])
     per_word, at = _big(data, n, 8 + size)
     m = int(per_word.sum())
-    return h, np.repeat(np.arange(n), per_word), np.frombuffer(data, "<i8", m, at), _big(data, m, at + 8 * m)[0] if counted else None
+    return h, np.repeat(np.arange(n), per_word), _wide(data, m, at, 6), _big(data, m, at + 6 * m)[0]
 
 
-def merge(payloads):
-    """The state of one bucket: (hashes of words with training counts, ascending; word, place in contexts and training count of each pair; all contexts, ascending)."""
+def merge(blocks, payloads):
+    """All pairs of one bucket, by word and context: the words' hashes; each pair's word, context and training count; each block's pairs as places among them."""
     import numpy as np
 
-    parts = [_unpack(p, True) for p in payloads]
+    parts = [_unpack(p) for p in payloads]
+    words = np.unique(np.concatenate([h for h, _, _, _ in parts]))
     contexts = np.unique(np.concatenate([c for _, _, c, _ in parts]))
-    keep = []
-    for h, w, c, n in parts:
-        some = n > 0
-        keep.append((h[w[some]], np.searchsorted(contexts, c[some]), n[some]))
-    hs, cs, ns = (np.concatenate(x) for x in zip(*keep))
-    seen, w = np.unique(hs, return_inverse=True)
-    key, inv = np.unique(w * len(contexts) + cs, return_inverse=True)
-    return seen, key // len(contexts), key % len(contexts), np.bincount(inv, ns, len(key)).astype("i8"), contexts
+    keys = [np.searchsorted(words, h)[w] * len(contexts) + np.searchsorted(contexts, c) for h, w, c, _ in parts]
+    key = np.unique(np.concatenate(keys))
+    n, asked = np.zeros(len(key), "i8"), []
+    for k, (_, _, _, count) in zip(keys, parts):
+        place = np.searchsorted(key, k)
+        n[place] += count
+        asked.append(_pack(place.astype("u8")))
+    return words, key // len(contexts), contexts[key % len(contexts)], n, dict(zip(blocks, asked))
 
 
 def fine(c):
     """The parent of a context: its class; that of the start of a text is a class of its own."""
-    return c & ((1 << CLASS_BITS) - 1)
+    return c >> HASH_BITS
 
 
-def coarse(c):
+def coarse(f):
     """The parent of a class: its coarse class."""
-    return fine(c) // (FINE // COARSE)
+    return f // (FINE // COARSE)
+
 
+def turned(c):
+    """A context with its class below its hash, so that equal ranges hold about equally many contexts."""
+    return (c & ((1 << HASH_BITS) - 1)) << 11 | c >> HASH_BITS
 
-def span(c, buckets: int):
-    """The range of contexts that c falls into, of `buckets` ranges in ascending order."""
-    return (c >> (CLASS_BITS + HASH_BITS - 30)) * buckets >> 30
+
+def spans(c, buckets: int):
+    """The span that each turned() context falls into: a quarter as many as there are buckets."""
+    return (c >> (HASH_BITS + 11 - 30)) * max(1, buckets // 4) >> 30
 
 
 @functools.cache
@@ -295,60 +391,19 @@ def seat(n, new, discount: float, rng, draws: int = DRAWS, small: int = SMALL):
 
 
 class Restaurants:
-    """Totals of all restaurants: customers and tables of classes, coarse classes and the root; the folder that has those of word contexts; discounts; V."""
+    """Customers and tables of classes, coarse classes and the root; discounts; V."""
 
-    def __init__(self, totals: dict, vocabulary: int, discounts, folder: str, buckets: int):
+    def __init__(self, totals: dict, vocabulary: int, discounts):
         import numpy as np
 
-        self.vocabulary, self.discounts, self.folder, self.buckets = vocabulary, discounts, folder, buckets
+        self.vocabulary, self.discounts = vocabulary, discounts
         self.n2, self.t2, self.n1, self.t1, self.n0, self.t0 = (np.asarray(totals[k], "f8") for k in ("n2", "t2", "n1", "t1", "n0", "t0"))
 
-    def _files(self, spans):
-        from pyarrow import fs
-
-        system, base = fs.FileSystem.from_uri(self.folder)
-        for q in spans:
-            if system.get_file_info(f"{base}/{q}").type == fs.FileType.File:
-                with system.open_input_file(f"{base}/{q}") as f:
-                    yield q, f
-
-    def local(self, part: int):
-        """(customers, tables) of a bucket's contexts, in their order."""
-        import numpy as np
-
-        n, t = [np.zeros(0)], [np.zeros(0)]
-        for _, f in self._files(range(self.buckets)):
-            f.seek(8 * part)
-            a, b = np.frombuffer(f.read(16), "<i8")
-            f.seek(a)
-            x = np.frombuffer(f.read(b - a), "<u4").reshape(2, -1)
-            n.append(x[0])
-            t.append(x[1])
-        return np.concatenate(n).astype("f8"), np.concatenate(t).astype("f8")
-
-    def lookup(self, ctx):
-        """(customers, tables) of any contexts: reads all of their ranges."""
-        import numpy as np
-
-        n, t, at = np.zeros(len(ctx)), np.zeros(len(ctx)), span(ctx, self.buckets)
-        for q, f in self._files(np.unique(at).tolist()):
-            f.seek(8 * self.buckets)
-            start = int(np.frombuffer(f.read(8), "<i8")[0])
-            f.seek(start)
-            data = f.read()
-            m = len(data) // 16
-            keys, x = np.frombuffer(data, "<i8", m), np.frombuffer(data, "<u4", 2 * m, 8 * m).reshape(2, m)
-            mine = np.flatnonzero(at == q)
-            i = np.minimum(np.searchsorted(keys, ctx[mine]), m - 1)
-            ok = keys[i] == ctx[mine]
-            n[mine], t[mine] = np.where(ok, x[0][i], 0), np.where(ok, x[1][i], 0)
-        return n, t
-
     def root(self, c0, t0):
         d = self.discounts[0]
         return (c0 - d * t0 + (STRENGTH + d * self.t0[0]) / (self.vocabulary + 1)) / (STRENGTH + self.n0[0])
 
-    def parent(self, k, c1, t1, p0):
+    def coarse(self, k, c1, t1, p0):
         d = self.discounts[1]
         return (c1 - d * t1 + (STRENGTH + d * self.t1[k]) * p0) / (STRENGTH + self.n1[k])
 
@@ -365,38 +420,58 @@ class Restaurants:
 class Seating:
     """One bucket's seating: tables t3 of each (word, context), t2 of each (word, class), t1 of each (word, coarse class), t0 of each word."""
 
-    def __init__(self, base, t3, t2=None, t1=None, t0=None):
+    def __init__(self, words: int, word, context, n, tables=None):
         import numpy as np
 
-        self.base, self.t3 = base, t3
-        self.word, self.ctx, self.n, self.words, self.contexts, self.at = base
-        key, self.up3 = np.unique(self.word * (FINE + 1) + fine(self.ctx), return_inverse=True)
-        self.word2, self.ctx2 = key // (FINE + 1), key % (FINE + 1)
-        self.c2 = np.bincount(self.up3, t3, len(key)).astype("i8")
-        self.t2 = np.minimum(self.c2, 1) if t2 is None else t2
-        key, self.up2 = np.unique(self.word2 * (COARSE + 1) + coarse(self.ctx2), return_inverse=True)
-        self.word1, self.ctx1 = key // (COARSE + 1), key % (COARSE + 1)
-        self.c1 = np.bincount(self.up2, self.t2, len(key)).astype("i8")
-        self.t1 = np.minimum(self.c1, 1) if t1 is None else t1
-        self.c0 = np.bincount(self.word1, self.t1, self.words).astype("i8")
-        self.t0 = np.minimum(self.c0, 1) if t0 is None else t0
-
-    def sweep(self, r: Restaurants, tables, seed: int) -> Seating:
-        """tables: those of the bucket's contexts, all buckets' together."""
+        self.words, self.word, self.context, self.n = words, word, context, n
+        key, self.up3 = _runs(word * (FINE + 1) + fine(context))
+        self.word2, self.class2 = key // (FINE + 1), key % (FINE + 1)
+        key, self.up2 = _runs(self.word2 * (COARSE + 1) + coarse(self.class2))
+        self.word1, self.class1 = key // (COARSE + 1), key % (COARSE + 1)
+        if tables is None:
+            self.t3 = np.minimum(n, 1)
+            self._add()
+            self.t2 = np.minimum(self.c2, 1)
+            self._add()
+            self.t1 = np.minimum(self.c1, 1)
+            self._add()
+            self.t0 = np.minimum(self.c0, 1)
+        else:
+            at = 0
+            for name, m in (("t3", len(word)), ("t2", len(self.word2)), ("t1", len(self.word1)), ("t0", words)):
+                x, at = _big(tables, m, at)
+                setattr(self, name, x)
+            self._add()
+
+    def _add(self) -> None:
+        """Customers of each level: the tables of the one below."""
         import numpy as np
 
-        rng = np.random.default_rng(seed)
+        for c, t, up, at, m in (("c2", "t3", None, self.up3, len(self.word2)), ("c1", "t2", None, self.up2, len(self.word1)), ("c0", "t1", None, self.word1, self.words)):
+            if hasattr(self, t):
+                setattr(self, c, np.bincount(at, getattr(self, t), m).astype("i8"))
+
+    def chances(self, r: Restaurants):
+        """The predictive probabilities of each word at the root, each (word, coarse class) and each (word, class)."""
         p0 = r.root(self.c0, self.t0)
-        p1 = r.parent(self.ctx1, self.c1, self.t1, p0[self.word1])
-        p2 = r.fine(self.ctx2, self.c2, self.t2, p1[self.up2])
-        t3 = seat(self.n, (STRENGTH + r.discounts[3] * tables[self.at]) * p2[self.up3], r.discounts[3], rng)
-        c2 = np.bincount(self.up3, t3, len(self.c2)).astype("i8")
-        t2 = seat(c2, (STRENGTH + r.discounts[2] * r.t2[self.ctx2]) * p1[self.up2], r.discounts[2], rng)
-        c1 = np.bincount(self.up2, t2, len(self.c1)).astype("i8")
-        t1 = seat(c1, (STRENGTH + r.discounts[1] * r.t1[self.ctx1]) * p0[self.word1], r.discounts[1], rng)
-        c0 = np.bincount(self.word1, t1, self.words).astype("i8")
-        t0 = seat(c0, np.full(self.words, (STRENGTH + r.discounts[0] * r.t0[0]) / (r.vocabulary + 1)), r.discounts[0], rng)
-        return Seating(self.base, t3, t2, t1, t0)
+        p1 = r.coarse(self.class1, self.c1, self.t1, p0[self.word1])
+        return p0, p1, r.fine(self.class2, self.c2, self.t2, p1[self.up2])
+
+    def sweep(self, r: Restaurants, tables, seed: int) -> None:
+        """tables: those of each pair's context, all buckets' together."""
+        import numpy as np
+
+        rng, d = np.random.default_rng(seed), r.discounts
+        p0, p1, p2 = self.chances(r)
+        some = np.flatnonzero(self.n > 1)  # one customer has one table
+        self.t3 = np.minimum(self.n, 1)
+        self.t3[some] = seat(self.n[some], (STRENGTH + d[3] * tables[some]) * p2[self.up3[some]], d[3], rng)
+        self._add()
+        self.t2 = seat(self.c2, (STRENGTH + d[2] * r.t2[self.class2]) * p1[self.up2], d[2], rng)
+        self._add()
+        self.t1 = seat(self.c1, (STRENGTH + d[1] * r.t1[self.class1]) * p0[self.word1], d[1], rng)
+        self._add()
+        self.t0 = seat(self.c0, np.full(self.words, (STRENGTH + d[0] * r.t0[0]) / (r.vocabulary + 1)), d[0], rng)
 
     def totals(self) -> dict:
         import numpy as np
@@ -404,288 +479,255 @@ class Seating:
         count = lambda at, x, size: np.bincount(at, x, size).tolist()
         ones = [[float((x == 1).sum()), float((x == 2).sum())] for x in (self.c0, self.c1, self.c2, self.n)]
         return {
-            "n2": count(self.ctx2, self.c2, FINE + 1), "t2": count(self.ctx2, self.t2, FINE + 1), "n1": count(self.ctx1, self.c1, COARSE + 1), "t1": count(self.ctx1, self.t1, COARSE + 1),
-            "n0": [float(self.c0.sum())], "t0": [float(self.t0.sum())], "ones": sum(ones, []), "words": [float(self.words)], "tokens": [float(self.n.sum())],
+            "n2": count(self.class2, self.c2, FINE + 1), "t2": count(self.class2, self.t2, FINE + 1), "n1": count(self.class1, self.c1, COARSE + 1), "t1": count(self.class1, self.t1, COARSE + 1),
+            "n0": [float(self.c0.sum())], "t0": [float(self.t0.sum())], "ones": sum(ones, []), "words": [float((self.c0 > 0).sum())], "tokens": [float(self.n.sum())],
         }
 
-    def sent(self, buckets: int) -> list:
-        """Per range of contexts: the bucket's contexts in it, their customers and their tables here."""
+    def pack(self) -> bytes:
+        return b"".join(map(_small, (self.t3, self.t2, self.t1, self.t0)))
+
+
+class Bucket:
+    """What one bucket's file holds: its words, pairs, contexts by span, each block's pairs."""
+
+    def __init__(self, data: bytes):
         import numpy as np
 
-        c = self.contexts
-        n, t = (np.bincount(self.at, x, len(c)).astype("<u4") for x in (self.n, self.t3))
-        cuts = np.searchsorted(span(c, buckets), np.arange(buckets + 1))
-        return [c[a:b].astype("<i8").tobytes() + n[a:b].tobytes() + t[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+        words, per_word, self.contexts, at, n, self.cuts, self.blocks, self.asked, self.ends = _named(data, "words", "per_word", "contexts", "at", "n", "cuts", "blocks", "asked", "ends")
+        self.words, self.at = len(words), at.astype("i8")
+        self.word = np.repeat(np.arange(self.words), _big(per_word.tobytes(), self.words)[0])
+        self.n = _big(n.tobytes(), len(self.at))[0]
+        back = (self.contexts & 0x7FF) << HASH_BITS | self.contexts >> 11
+        self.pair = back[self.at]
 
-    def pack(self) -> bytes:
-        return b"".join(x.astype("<u4").tobytes() for x in (self.t3, self.t2, self.t1, self.t0))
+    @staticmethod
+    def file(words, word, context, n, asked: dict, buckets: int) -> bytes:
+        import numpy as np
+
+        contexts, place = np.unique(turned(context), return_inverse=True)
+        cuts = np.searchsorted(spans(contexts, buckets), np.arange(max(1, buckets // 4) + 1))
+        u1 = lambda b: np.frombuffer(b, "u1")
+        return _arrays(
+            words=words, per_word=u1(_small(np.bincount(word, minlength=len(words)))), contexts=contexts, at=place.astype("u4"), n=u1(_small(n)), cuts=cuts,
+            blocks=np.array(list(asked)), asked=u1(b"".join(asked.values())), ends=np.cumsum([0, *map(len, asked.values())]),
+        )
 
-    @classmethod
-    def unpack(cls, base, data: bytes) -> Seating:
+    def seating(self, tables=None) -> Seating:
+        return Seating(self.words, self.word, self.pair, self.n, tables)
+
+    def named(self) -> list:
+        """To each span the bucket's contexts in it, with the customers and the pairs of each."""
         import numpy as np
 
-        word, ctx, words = base[0], base[1], base[3]
-        flat = np.frombuffer(data, "<u4").astype("i8")
-        m = len(word)
-        m2 = len(np.unique(word * (FINE + 1) + fine(ctx)))
-        return cls(base, flat[:m], flat[m : m + m2], flat[m + m2 : len(flat) - words], flat[len(flat) - words :])
+        n, pairs = (np.bincount(self.at, x, len(self.contexts)).astype("i8") for x in (self.n, self.n > 0))
+        return [_narrow(self.contexts[a:b], 6) + _small(n[a:b]) + _small(pairs[a:b]) + (b - a).astype("<u4").tobytes() if a < b else b"" for a, b in zip(self.cuts, self.cuts[1:])]
 
+    def more(self, s: Seating) -> list:
+        """To each span the tables beyond one per pair that each of the bucket's contexts in it has here."""
+        import numpy as np
 
-STATE = "part int, words binary, pairs binary, seating array<binary>, totals map<string, array<double>>, sent array<binary>"
+        x = np.bincount(self.at, s.t3 - np.minimum(self.n, 1), len(self.contexts)).astype("i8")
+        return [_small(x[a:b]) + (b - a).astype("<u4").tobytes() if a < b else b"" for a, b in zip(self.cuts, self.cuts[1:])]
 
 
-def _state_row(part, words, pairs, seatings, s: Seating, buckets: int):
-    return pa.RecordBatch.from_pylist([{"part": part, "words": words, "pairs": pairs, "seating": seatings, "totals": list(s.totals().items()), "sent": s.sent(buckets)}], schema=pa.schema([("part", pa.int32()), ("words", pa.binary()), ("pairs", pa.binary()), ("seating", pa.list_(pa.binary())), ("totals", pa.map_(pa.string(), pa.list_(pa.float64()))), ("sent", pa.list_(pa.binary()))]))
+STEP = "part int, totals map<string, array<double>>, sent array<binary>"
+ANSWER = "part int, block string, n long, logs binary, counts binary"
 
 
-def _base(words: bytes, pairs: bytes):
-    """(word, context and count of each pair, number of words, all contexts, place in them of each pair) from a state row."""
-    import numpy as np
+def _rows(docs: DataFrame, repeatable: bool) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    return rows if repeatable else written(rows, "texts")
 
-    k = int.from_bytes(pairs[:8], "little")
-    contexts = np.frombuffer(pairs, "<i8", k, 8)
-    word, at, n = np.frombuffer(pairs, "<u4", -1, 8 + 8 * k).reshape(3, -1).astype("i8") if len(pairs) > 8 + 8 * k else np.zeros((3, 0), "i8")
-    return word, contexts[at], n, len(words) // 8, contexts, at
 
+def _cut(batches, block_words: int, buckets: int):
+    """(name, Block) of batches (doc_id, text): about block_words words each, judged by bytes."""
+    from pyspark import TaskContext
 
-def _meet(state: DataFrame, buckets: int) -> str:
-    """The folder of a file per range of contexts: their totals over all buckets, a slice for each bucket and all of them."""
-    folder = f"{shared_uri(state.sparkSession)}/contexts-{uuid.uuid4().hex}"
+    part, limit, number = TaskContext.get().partitionId(), 6 * block_words, 0
+    ids, texts, total = [], [], 0
+    for whole in batches:
+        for b in slices(whole, 1, limit):
+            ids += b.column(0).to_pylist()
+            texts.append(b.column(1))
+            total += b.column(1).nbytes + 6 * len(b)
+            if total >= limit:
+                yield f"{part}-{number}", Block(ids, texts, buckets)
+                ids, texts, total, number = [], [], 0, number + 1
+    if ids:
+        yield f"{part}-{number}", Block(ids, texts, buckets)
 
-    def add(key, pdf):
-        import numpy as np
-        import pandas as pd
-        from pyarrow import fs
-
-        parts = []
-        for data in pdf["payload"]:
-            m = len(data) // 16
-            parts.append((np.frombuffer(data, "<i8", m), *np.frombuffer(data, "<u4", 2 * m, 8 * m).reshape(2, m)))
-        keys, inv = np.unique(np.concatenate([c for c, _, _ in parts]), return_inverse=True)
-        n, t = (np.bincount(inv, np.concatenate([p[k] for p in parts]), len(keys)).astype("<u4") for k in (1, 2))
-        cuts = np.cumsum([0, *(len(c) for c, _, _ in parts)])
-        slices_ = {p: inv[a:b] for p, a, b in zip(pdf["part"], cuts, cuts[1:])}
-        ends = 8 * (buckets + 1) + 8 * np.cumsum([0, *(len(slices_.get(p, ())) for p in range(buckets))])
-        system, base = fs.FileSystem.from_uri(folder)
-        system.create_dir(base, recursive=True)
-        own = f"{base}/{key[0]}.{uuid.uuid4().hex}"
-        with system.open_output_stream(own) as out:
-            out.write(ends.astype("<i8").tobytes())
-            for p in sorted(slices_):
-                out.write(n[slices_[p]].tobytes() + t[slices_[p]].tobytes())
-            out.write(keys.astype("<i8").tobytes() + n.tobytes() + t.tobytes())
-        system.move(own, f"{base}/{key[0]}")
-        return pd.DataFrame({"n": [len(keys)]})
-
-    rows = state.select("part", F.posexplode("sent").alias("span", "payload")).where(F.length("payload") > 0)
-    rows.groupBy("span").applyInPandas(add, "n long").agg(F.sum("n")).collect()
-    return folder
-
-
-def _sum_totals(state: DataFrame) -> dict:
+
+def _sum_totals(steps: DataFrame) -> dict:
     """The totals of all buckets, added up place by place: arrays of a fixed size."""
-    flat = state.select(F.explode("totals").alias("k", "v")).select("k", F.posexplode("v").alias("i", "x"))
+    flat = steps.select(F.explode("totals").alias("k", "v")).select("k", F.posexplode("v").alias("i", "x"))
     out: dict = {}
     for k, i, x in flat.groupBy("k", "i").agg(F.sum("x").alias("x")).orderBy("k", "i").collect():
         out.setdefault(k, []).append(x)
     return out
 
 
-class Trained:
-    """State tables after training: the last one holds the kept samples, with the totals that go with each."""
-
-    def __init__(self, state: DataFrame, restaurants: list, tokens: int, vocabulary: int):
-        self.state, self.restaurants, self.tokens, self.vocabulary = state, restaurants, tokens, vocabulary
+def _meet(steps: DataFrame, folder: str, first: bool) -> DataFrame:
+    """(part, span, payload): to each bucket the tables of its contexts in each span, the first time with their customers."""
 
+    def add(key, pdf):
+        import numpy as np
+        import pandas as pd
 
-def _rows(docs: DataFrame, repeatable: bool) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("digest"))
-    return rows if repeatable else written(rows, "texts")
-
+        size = [int.from_bytes(x[-4:], "little") for x in pdf["payload"]]
+        if first:
+            named = [_wide(x, m, 0, 6) for x, m in zip(pdf["payload"], size)]
+            contexts = np.unique(np.concatenate(named))
+            place = {int(p): np.searchsorted(contexts, c) for p, c in zip(pdf["part"], named)}
+            n, t = np.zeros(len(contexts), "i8"), np.zeros(len(contexts), "i8")
+            for p, x, m in zip(pdf["part"], pdf["payload"], size):
+                own, at = _big(x, m, 6 * m)
+                n[place[p]] += own
+                t[place[p]] += _big(x, m, at)[0]
+            _put(folder, f"span-{key[0]}", _arrays(t=t, parts=np.array([*place]), ends=np.cumsum([0, *map(len, place.values())]), place=np.concatenate([*place.values()]).astype("u4")))
+            out = [_small(t[c]) + _small(n[c]) for c in place.values()]
+        else:
+            t, parts, ends, flat = _named(_get(folder, f"span-{key[0]}"), "t", "parts", "ends", "place")
+            place = {int(p): flat[a:b] for p, a, b in zip(parts, ends, ends[1:])}
+            for p, x, m in zip(pdf["part"], pdf["payload"], size):
+                t[place[p]] += _big(x, m)[0]
+            out = [_small(t[c]) for c in place.values()]
+        return pd.DataFrame({"part": np.array([*place], "i4"), "span": np.int32(key[0]), "payload": out})
+
+    rows = steps.select("part", F.posexplode("sent").alias("span", "payload")).where(F.length("payload") > 0)
+    return rows.groupBy("span").applyInPandas(add, "part int, span int, payload binary")
+
+
+def _met(b: Bucket, pdf, first: bool):
+    """(tables, customers or None) of the bucket's contexts, from all spans' answers."""
+    import numpy as np
 
-def _cut(batches, block_words: int, buckets: int):
-    """(doc_ids, Block) of batches (doc_id, text, digest): about block_words words each, judged by length so that splitting happens once."""
-    ids, texts, digests, total = [], [], [], 0
-    for whole in batches:
-        for b in slices(whole, 1):
-            for i, t, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                ids.append(i)
-                texts.append(t)
-                digests.append(d)
-                total += len(t or "") + 6
-                if total >= 6 * block_words:
-                    yield ids, Block(ids, texts, digests, buckets)
-                    ids, texts, digests, total = [], [], [], 0
-    if ids:
-        yield ids, Block(ids, texts, digests, buckets)
+    t, n = np.zeros(len(b.contexts)), np.zeros(len(b.contexts)) if first else None
+    for span, x in zip(pdf["span"], pdf["payload"]):
+        c, d = b.cuts[span], b.cuts[span + 1]
+        t[c:d], at = _big(x, d - c)
+        if first:
+            n[c:d] = _big(x, d - c, at)[0]
+    return t, n
 
 
-def _send(rows: DataFrame, block_words: int, buckets: int, counted: bool) -> DataFrame:
-    def run(batches):
-        for _, b in _cut(batches, block_words, buckets):
-            full = [p for p in range(buckets) if b.cuts[p] < b.cuts[p + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([b.name] * len(full), pa.string()), pa.array([b.payload(p, counted) for p in full], pa.binary())], ["part", "block", "payload"])
+class Trained:
+    """The folder of the buckets' files and kept seatings; the restaurants' totals of each kept sample; what the spans answer after the last sweep."""
 
-    return rows.mapInArrow(run, "part int, block string, payload binary")
+    def __init__(self, folder: str, restaurants: list, tokens: int, vocabulary: int, met: DataFrame, steps: DataFrame):
+        self.folder, self.restaurants, self.tokens, self.vocabulary, self.met, self.steps = folder, restaurants, tokens, vocabulary, met, steps
 
 
 def train(rows: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 1) -> Trained:
     """rows: as _rows gives them."""
     spark = rows.sparkSession
-    buckets = partitions(spark)
+    buckets, folder = partitions(spark), f"{shared_uri(spark)}/lm-{uuid.uuid4().hex}"
 
-    def gather(pdf):
-        import numpy as np
-        import pandas as pd
+    def send(batches):
+        for name, b in _cut(batches, block_words, buckets):
+            _put(folder, f"block-{name}", b.kept())
+            full = [p for p in range(buckets) if b.cuts[p] < b.cuts[p + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([name] * len(full), pa.string()), pa.array([b.payload(p) for p in full], pa.binary())], ["part", "block", "payload"])
 
-        words, word, at, n, contexts = merge(pdf["payload"])
-        pairs = b"".join([len(contexts).to_bytes(8, "little"), contexts.astype("<i8").tobytes(), *(x.astype("<u4").tobytes() for x in (word, at, n))])
-        first = Seating((word, contexts[at], n, len(words), contexts, at), np.minimum(n, 1))
-        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "words": [words.astype("<u8").tobytes()], "pairs": [pairs], "seating": [[first.pack()]], "totals": [first.totals()], "sent": [first.sent(buckets)]})
+    def gather(key, pdf):
+        import pandas as pd
 
-    # one Python step a stage: each further one would keep a worker of its own per core
-    state = written(_send(rows, block_words, buckets, True).groupBy("part").applyInPandas(gather, STATE), "state")
-    totals = _sum_totals(state)
-    if not totals:
-        return Trained(state, [], 0, 0)
+        data = Bucket.file(*merge(pdf["block"], pdf["payload"]), buckets)
+        _put(folder, f"bucket-{key[0]}", data)
+        b = Bucket(data)
+        s = b.seating()
+        _put(folder, f"seats-0-{key[0]}", s.pack())
+        return pd.DataFrame({"part": [key[0]], "totals": [s.totals()], "sent": [b.named()]})
+
+    def sweeper(sent, step: int):
+        def sweep(key, pdf):
+            import pandas as pd
+
+            b, part = Bucket(_get(folder, f"bucket-{key[0]}")), key[0]
+            tables, customers = _met(b, pdf, step == 1)
+            if step == 1:
+                _put(folder, f"customers-{part}", _small(customers.astype("i8")))
+            if step - 1 > BURN_IN:
+                _put(folder, f"tables-{step - 1}-{part}", _small(tables.astype("i8")))
+            s = b.seating(_get(folder, f"seats-{step - 1}-{part}"))
+            s.sweep(sent.value, tables[b.at], seed * 1_000_003 + step * 65_537 + part)
+            _put(folder, f"seats-{step}-{part}", s.pack())
+            return pd.DataFrame({"part": [part], "totals": [s.totals()], "sent": [b.more(s)]})
+
+        return sweep
+
+    steps = written(rows.mapInArrow(send, "part int, block string, payload binary").groupBy("part").applyInPandas(gather, STEP), "step")
+    freed(spark)
+    totals = _sum_totals(steps)
+    if not totals or not totals["tokens"][0]:
+        return Trained(folder, [], 0, 0, _meet(steps, folder, True), steps)
     tokens, vocabulary = int(totals["tokens"][0]), int(totals["words"][0])
     ones = totals["ones"]
     discounts = [min(0.95, max(0.1, a / (a + 2 * b))) if a + b else 0.5 for a, b in zip(ones[::2], ones[1::2])]
     kept = []
-    r = Restaurants(totals, vocabulary, discounts, _meet(state, buckets), buckets)
-    for step in range(BURN_IN + SAMPLES):
-        sent = spark.sparkContext.broadcast(r)
-        keep = step > BURN_IN  # the samples so far are kept beside the new one
-
-        def sweep(batches, sent=sent, keep=keep, step=step):
-            for b in batches:
-                for k in range(b.num_rows):
-                    x = b.slice(k, 1).to_pylist()[0]
-                    s = Seating.unpack(_base(x["words"], x["pairs"]), x["seating"][-1])
-                    s = s.sweep(sent.value, sent.value.local(x["part"])[1], seed * 1_000_003 + step * 65_537 + x["part"])
-                    yield _state_row(x["part"], x["words"], x["pairs"], [*(x["seating"] if keep else []), s.pack()], s, buckets)
-
-        before, state = state, written(state.drop("sent", "totals").mapInArrow(sweep, STATE), "state")
-        discard(before)
-        if step <= BURN_IN:  # no kept sample's
-            _remove(spark, r.folder)
-        totals = _sum_totals(state)
-        r = Restaurants(totals, vocabulary, discounts, _meet(state, buckets), buckets)
-        if step >= BURN_IN:
-            kept.append(r)
-    return Trained(state, kept, tokens, vocabulary)
-
-
-def _remove(spark, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
+    for step in range(1, BURN_IN + SAMPLES + 1):
+        sent = spark.sparkContext.broadcast(Restaurants(totals, vocabulary, discounts))
 
-def _opened(model, row):
-    """What _probabilities needs of a state row, worked out once for all blocks: its base, and each sample's seating and context totals."""
-    base = _base(row["words"], row["pairs"])
-    return base, [(r, Seating.unpack(base, packed), *r.local(row["part"])) for r, packed in zip(model[0], row["seating"])]
+        before, steps = steps, written(_meet(steps, folder, step == 1).groupBy("part").applyInPandas(sweeper(sent, step), STEP), "step")
+        discard(before)
+        freed(spark)
+        totals = _sum_totals(steps)
+        if step > BURN_IN:
+            kept.append(Restaurants(totals, vocabulary, discounts))
+    return Trained(folder, kept, tokens, vocabulary, _meet(steps, folder, False), steps)
 
 
-def _probabilities(model, row, words, word, ctx, opened=None):
-    """(log10 probability of each pair, training count of each word): pairs (word, ctx) over `words` hashes, a bucket's state row or None."""
+def predicted(b: Bucket, part: int, folder: str, restaurants: list, vocabulary: int, tables):
+    """The probability of each pair of a bucket, the mean of the kept samples'; tables: of its contexts, after the last sweep."""
     import numpy as np
 
-    restaurants, vocabulary = model
-    if not restaurants or row is None:
-        p = np.full(len(word), 1.0 / (vocabulary + 1))
-        if restaurants:  # a bucket without training words
-            p = np.zeros(len(word))
-            for r in restaurants:
-                p += r.word(*r.lookup(ctx), 0, 0, r.fine(fine(ctx), 0, 0, r.parent(coarse(ctx), 0, 0, r.root(0, 0))))
-            p /= len(restaurants)
-        return np.log10(p), np.zeros(len(words), "i8")
-    known = np.frombuffer(row["words"], "<u8")
-    base, samples = opened or _opened(model, row)
-    at = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
-    there = known[at] == words if len(known) else np.zeros(len(words), bool)
-    slot = np.where(there, at, len(known))  # one place more, empty, for unknown words
-    contexts = base[4]
-    place = np.minimum(np.searchsorted(contexts, ctx), max(0, len(contexts) - 1))
-    strange = np.flatnonzero(contexts[place] != ctx) if len(contexts) else np.arange(len(ctx))  # of no text in this bucket
-    p = np.zeros(len(word))
-    for r, s, customers, tables in samples:
-        n, t = (x[place] if len(contexts) else np.zeros(len(ctx)) for x in (customers, tables))
-        if len(strange):
-            n[strange], t[strange] = r.lookup(ctx[strange])
-        p0 = r.root(np.append(s.c0, 0), np.append(s.t0, 0))
-        w = slot[word]
-
-        def find(keys, wanted, *values):
-            i = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
-            ok = keys[i] == wanted if len(keys) else np.zeros(len(wanted), bool)
-            return [np.where(ok, v[i], 0) if len(keys) else np.zeros(len(wanted)) for v in values]
-
-        c1, t1 = find(s.word1 * (COARSE + 1) + s.ctx1, w * (COARSE + 1) + coarse(ctx), s.c1, s.t1)
-        c2, t2 = find(s.word2 * (FINE + 1) + s.ctx2, w * (FINE + 1) + fine(ctx), s.c2, s.t2)
-        p2 = r.fine(fine(ctx), c2, t2, r.parent(coarse(ctx), c1, t1, p0[w]))
-        size = len(contexts) + 1
-        c3, t3 = find(s.word * size + s.at, w * size + np.where(contexts[place] == ctx, place, len(contexts)) if len(contexts) else w, s.n, s.t3)
-        p += r.word(n, t, c3, t3, p2)
-    total = np.append(np.bincount(base[0], base[2], base[3]), 0).astype("i8")
-    return np.log10(p / len(restaurants)), total[slot]
+    p = np.zeros(len(b.n))
+    if not restaurants:
+        return p + 1.0 / (vocabulary + 1)
+    customers = _big(_get(folder, f"customers-{part}"), len(b.contexts))[0]
+    for step, r in enumerate(restaurants, BURN_IN + 1):
+        t = tables if step == BURN_IN + SAMPLES else _big(_get(folder, f"tables-{step}-{part}"), len(b.contexts))[0]
+        s = b.seating(_get(folder, f"seats-{step}-{part}"))
+        p += r.word(customers[b.at], t[b.at], s.n, s.t3, s.chances(r)[2][s.up3])
+    return p / len(restaurants)
 
 
 def score(docs: DataFrame, block_words: int = BLOCK_WORDS, repeatable: bool = False, seed: int = 1) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability of the text)."""
     spark = docs.sparkSession
-    rows = _rows(docs, repeatable)
-    model = train(rows, block_words, seed)
-    buckets, folder = partitions(spark), f"{shared_uri(spark)}/lm-{uuid.uuid4().hex}"
-    sent = spark.sparkContext.broadcast((model.restaurants, model.vocabulary))
-    tokens, vocabulary = model.tokens, model.vocabulary
+    model = train(_rows(docs, repeatable), block_words, seed)
+    folder, tokens, vocabulary = model.folder, model.tokens, model.vocabulary
+    sent = spark.sparkContext.broadcast(model.restaurants)
 
-    def answer(key, asked, state):
+    def answer(key, pdf):
         import numpy as np
         import pandas as pd
 
-        row = state.iloc[0] if len(state) else None
-        opened = _opened(sent.value, row) if sent.value[0] and row is not None else None
+        part, b = key[0], Bucket(_get(folder, f"bucket-{key[0]}"))
+        p = predicted(b, part, folder, sent.value, vocabulary, _met(b, pdf, not sent.value)[0])
+        logs = np.maximum(0, np.rint(-np.log10(p) * 2**POINT)).astype("u8")
+        total = np.bincount(b.word, b.n, b.words).astype("i8")
         out = []
-        for block, payload in zip(asked["block"], asked["payload"]):
-            h, w, c, _ = _unpack(payload, False)
-            logs, counts = _probabilities(sent.value, row, h, w, c.astype("i8"), opened)
-            out.append((key[0], block, logs.astype("<f4").tobytes(), _small(counts), len(h)))
-        return pd.DataFrame(out, columns=["part", "block", "logs", "counts", "n"]).astype({"part": np.int32, "n": np.int64})
+        for name, a, e in zip(b.blocks, b.ends, b.ends[1:]):
+            at = _unpack_hashes(b.asked[a:e].tobytes()).astype("i8")
+            words = _runs(b.word[at])[0]
+            out.append((part, str(name), len(words), _narrow(logs[at], 5), _small(total[words])))
+        return pd.DataFrame(out, columns=["part", "block", "n", "logs", "counts"]).astype({"part": np.int32})
 
-    def file(key, pdf):
+    def finish(key, pdf):
         import numpy as np
         import pandas as pd
-        from pyarrow import fs
 
         pdf = pdf.sort_values("part")
-        counts = np.concatenate([_big(c, n, 0)[0] for c, n in zip(pdf["counts"], pdf["n"])])
-        system, base = fs.FileSystem.from_uri(folder)
-        system.create_dir(base, recursive=True)
-        own = f"{base}/{key[0]}.{uuid.uuid4().hex}"
-        with system.open_output_stream(own) as out:
-            out.write(len(counts).to_bytes(8, "little") + _small(counts) + b"".join(pdf["logs"]))
-        system.move(own, f"{base}/{key[0]}")
-        return pd.DataFrame({"n": [len(counts)]})
-
-    def finish(batches):
-        import numpy as np
-        from pyarrow import fs
-
-        system, base = fs.FileSystem.from_uri(folder)
-        for ids, b in _cut(batches, block_words, buckets):
-            with system.open_input_file(f"{base}/{b.name}") as f:
-                data = f.read()
-            counts, at = _big(data, int.from_bytes(data[:8], "little"), 8)
-            logs = np.frombuffer(data[at:], "<f4").astype("f8")
-            first = np.cumsum(b.size) - b.size
-            word = b.word[b.pair]
-            scored = np.add.reduceat(logs[b.pair], first)
-            plain = np.log10((counts + 1) / (tokens + 1.0 * (vocabulary + 1)))
-            based, known = np.add.reduceat(plain[word], first), np.add.reduceat((counts > 0).astype("i8")[word], first)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([_held(i) for i in ids]), pa.array(b.size), pa.array(known), pa.array([tokens] * len(ids), pa.int64()), pa.array(based), pa.array(scored)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    asked = _send(rows, block_words, buckets, False).groupBy("part")
-    answers = asked.cogroup(model.state.select("part", "words", "pairs", "seating").groupBy("part")).applyInPandas(answer, "part int, block string, logs binary, counts binary, n long")
-    answers.groupBy("block").applyInPandas(file, "n long").agg(F.sum("n")).collect()
-    return rows.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        ids, none, size, per_word, words, *planes = _named(_get(folder, f"block-{key[0]}"), "ids", "none", "size", "per_word", "words", *(f"plane{k}" for k in range(4)))
+        first, m = np.cumsum(size, dtype="i8") - size, int(size.sum())
+        pair = sum(np.frombuffer(pa.decompress(x, decompressed_size=m, codec="zstd"), "u1").astype("i8") << 8 * k for k, x in enumerate(planes))
+        counts = np.concatenate([_big(c, n)[0] for c, n in zip(pdf["counts"], pdf["n"])])
+        logs = np.concatenate([_wide(x, len(x) // 5, 0, 5) for x in pdf["logs"]]) / -(2.0**POINT)
+        word = np.repeat(np.arange(words[0]), _big(per_word.tobytes(), words[0])[0])[pair]
+        plain = np.log10((counts + 1) / (tokens + 1.0 * (vocabulary + 1)))
+        held = [not gone and _held(i) for i, gone in zip(ids.tolist(), none)]
+        found = {"held_out": held, "n_tokens": size.astype("i8"), "n_known": np.add.reduceat((counts > 0).astype("i8")[word], first), "train_tokens": tokens, "base_score": np.add.reduceat(plain[word], first), "score": np.add.reduceat(logs[pair], first)}
+        return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), **found}).assign(doc_id=lambda x: x["doc_id"].mask(none))
+
+    answers = model.met.groupBy("part").applyInPandas(answer, ANSWER)
+    return answers.groupBy("block").applyInPandas(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

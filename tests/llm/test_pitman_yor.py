@@ -41,18 +41,100 @@ def test_counts_base_and_gain(spark):
     assert none[0].train_tokens == 0 and none[0].n_known == 0 and none[0].score == 0.0
 
 
-def test_probabilities_of_a_context_add_up_to_one(spark):
-    model = py.train(py._rows(table(spark, corpus()), False))
-    parts = model.state.collect()
-    for ctx in [0, py.FINE, *{int(c) for x in parts for c in py._base(x.words, x.pairs)[1][:5]}]:
-        total = 0.0
-        for x in parts:
-            words = np.frombuffer(x.words, "<u8")
-            logs, counts = py._probabilities((model.restaurants, model.vocabulary), x, words, np.arange(len(words)), np.full(len(words), ctx))
-            assert (counts > 0).all()
-            total += (10.0**logs).sum()
-        unknown, _ = py._probabilities((model.restaurants, model.vocabulary), parts[0], np.array([12345], "u8"), np.array([0]), np.array([ctx]))
-        assert abs(total + 10.0 ** unknown[0] - 1) < 1e-9
+def test_score_against_brute_force(spark):
+    """Every pair's probability from restaurants that are counted by hand from the kept seatings; those of a context add up to one; the texts' scores are the sums."""
+    rows = corpus()
+    model = py.train(py._rows(table(spark, rows).repartition(3), False), block_words=300)
+    met: dict = {}
+    for x in model.met.collect():
+        met.setdefault(x.part, []).append((x.span, x.payload))
+    words, per_sample, buckets = [], [], {}
+    for part, answers in met.items():
+        b = buckets[part] = py.Bucket(py._get(model.folder, f"bucket-{part}"))
+        words += [(part, k) for k in range(b.words)]
+    known = {w: 0 for w in words}
+    for part, b in buckets.items():
+        for w, n in zip(b.word.tolist(), b.n.tolist()):
+            known[part, w] += n
+    v = sum(n > 0 for n in known.values())
+    assert v == model.vocabulary and sum(known.values()) == model.tokens
+    for step, r in enumerate(model.restaurants, py.BURN_IN + 1):
+        level: list = [{} for _ in range(4)]  # (word, restaurant) -> [customers, tables], from the root down
+        for part, b in buckets.items():
+            s = b.seating(py._get(model.folder, f"seats-{step}-{part}"))
+            for word, place, n, t in ((s.word, s.context, s.n, s.t3), (s.word2, s.class2, s.c2, s.t2), (s.word1, s.class1, s.c1, s.t1), (range(b.words), [0] * b.words, s.c0, s.t0)):
+                d = level[{id(s.n): 3, id(s.c2): 2, id(s.c1): 1, id(s.c0): 0}[id(n)]]
+                for w, c, n1, t1 in zip(word, place, n, t):
+                    assert (n1 > 0) == (t1 > 0) and t1 <= n1
+                    d[(part, int(w)), int(c)] = [int(n1), int(t1)]
+        total: list = [{} for _ in range(4)]
+        for d, t in zip(level, total):
+            for (_, c), (n1, t1) in d.items():
+                x = t.setdefault(c, [0, 0])
+                x[0] += n1
+                x[1] += t1
+        for k, up in ((3, py.fine), (2, py.coarse), (1, lambda c: 0)):  # tables are the parent's customers
+            got: dict = {}
+            for (w, c), (_, t1) in level[k].items():
+                got[w, up(c)] = got.get((w, up(c)), 0) + t1
+            assert {x: n for x, n in got.items() if n} == {x: n for x, (n, _) in level[k - 1].items() if n}
+
+        def chance(w, c, r=r, level=level, total=total):
+            p = 1 / (v + 1)
+            for k, place in enumerate((0, py.coarse(py.fine(c)), py.fine(c), c)):
+                n, t = level[k].get((w, place), (0, 0))
+                all_n, all_t = total[k].get(place, (0, 0))
+                p = (n - r.discounts[k] * t + (py.STRENGTH + r.discounts[k] * all_t) * p) / (py.STRENGTH + all_n)
+            return p
+
+        per_sample.append(chance)
+    for part, b in buckets.items():
+        pdf = {"span": [s for s, _ in met[part]], "payload": [x for _, x in met[part]]}
+        got = py.predicted(b, part, model.folder, model.restaurants, model.vocabulary, py._met(b, pdf, False)[0])
+        want = [np.mean([f((part, w), c) for f in per_sample]) for w, c in zip(b.word.tolist(), b.pair.tolist())]
+        assert np.allclose(got, want, rtol=1e-12)
+    for c in {py.START, *(int(x) for b in buckets.values() for x in b.pair[:5])}:
+        for f in per_sample:
+            assert abs(sum(f(w, c) for w, n in known.items() if n) + f("unknown", c) - 1) < 1e-9
+    data, bounds = py.word_hash.texts([__import__("pyarrow").array([lower(t or "") for _, t in rows])])
+    starts, lengths, counts = py.word_hash.split(data, bounds)
+    hashed, at, want = py.word_hash.hashes(data, starts, lengths).tolist(), 0, []
+    place = {}
+    for part in buckets:
+        for k, h in enumerate(py._named(py._get(model.folder, f"bucket-{part}"), "words")[0].tolist()):
+            place[h] = (part, k)
+    context = {(w, p): int(c) for part, b in buckets.items() for w, p, c in zip([(part, x) for x in b.word.tolist()], range(len(b.word)), b.pair)}
+    follows: dict = {}
+    for (w, _), c in context.items():
+        follows.setdefault(c & ((1 << py.HASH_BITS) - 1), {})[w] = c
+    for (i, _), m in zip(rows, counts.tolist()):
+        total_log, before = 0.0, None
+        for h in [*hashed[at : at + m], py.END]:
+            c = py.START if before is None else follows[before >> (64 - py.HASH_BITS)][place[h]]
+            total_log += math.log10(np.mean([f(place[h], c) for f in per_sample]))
+            before = h
+        at += m
+        want.append((i, total_log))
+    got = sorted(((x.doc_id, x.score) for x in py.score(table(spark, rows).repartition(3), block_words=300).collect()), key=lambda x: (x[0] is None, x))
+    assert len(got) == len(want) and all(i == j and abs(x - y) < 1e-6 for (i, x), (j, y) in zip(got, sorted(want, key=lambda x: (x[0] is None, x))))
+
+
+def test_words_of_batches():
+    """The vectorised splitter against the pattern, and equal hashes for equal words only."""
+    import pyarrow as pa
+
+    rows = [t for _, t in awkward()] + ["a\x0bb\x0cc\r\nd", " ", "x", "x" * 5000 + " y", "\u3000 \x1c a\xa0b", "abcdefgh abcdefghi abcdefg", "日本語 日本 本語"]
+    for parts in ([pa.array(rows)], [pa.array(rows[:7]), pa.array(rows)[7:20], pa.array([], pa.string()), pa.array(rows[20:])]):
+        data, bounds = py.word_hash.texts(parts)
+        starts, lengths, counts = py.word_hash.split(data, bounds)
+        want = [WORDS.findall(t or "") for t in rows]
+        assert counts.tolist() == [len(w) for w in want]
+        flat = [x for w in want for x in w]
+        assert [data[s : s + n].tobytes().decode() for s, n in zip(starts, lengths)] == flat
+        h = py.word_hash.hashes(data, starts, lengths).tolist()
+        one, two = (x.tolist() for x in py.word_hash.endings(data, starts, lengths))
+        for keys, values in ((flat, h), ([x[-1:] for x in flat], one), ([x[-2:] for x in flat], two)):
+            assert len(set(zip(keys, values))) == len(set(keys)) == len(set(values))
 
 
 def test_seating_matches_the_process():
