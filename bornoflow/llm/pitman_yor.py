@@ -114,7 +114,7 @@ def _distinct(keys):
 
 
 def _put(folder: str, name: str, data: bytes) -> None:
-    """Write a file of the shared folder that any attempt of a task would write alike; one that is there stays."""
+    """Write a file of the shared folder, packed, that any attempt of a task would write alike; one that is there stays."""
     from pyarrow import fs
 
     system, base = fs.FileSystem.from_uri(folder)
@@ -124,7 +124,7 @@ def _put(folder: str, name: str, data: bytes) -> None:
     system.create_dir(base, recursive=True)
     own = f"{base}/{name}.{uuid.uuid4().hex}"
     with system.open_output_stream(own) as out:
-        out.write(data)
+        out.write(len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True))
     try:
         system.move(own, f"{base}/{name}")
     except OSError:
@@ -138,7 +138,8 @@ def _get(folder: str, name: str) -> bytes:
 
     system, base = fs.FileSystem.from_uri(folder)
     with system.open_input_file(f"{base}/{name}") as f:
-        return f.read()
+        data = f.read()
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
 
 
 def _arrays(**named) -> bytes:
@@ -202,10 +203,10 @@ class Block:
     def kept(self) -> bytes:
         import numpy as np
 
-        planes = [pa.compress(np.ascontiguousarray((self.pair >> 8 * k).astype("u1")), codec="zstd", asbytes=True) for k in range(4)]
+        planes = {f"plane{k}": (self.pair >> 8 * k).astype("u1") for k in range(4)}
         return _arrays(
             ids=np.array([0 if i is None else i for i in self.ids], "i8"), none=np.array([i is None for i in self.ids]), size=self.size.astype("u4"),
-            per_word=np.frombuffer(_small(np.bincount(self.word, minlength=len(self.hash))), "u1"), words=np.array([len(self.hash)]), **{f"plane{k}": np.frombuffer(x, "u1") for k, x in enumerate(planes)},
+            per_word=np.frombuffer(_small(np.bincount(self.word, minlength=len(self.hash))), "u1"), words=np.array([len(self.hash)]), **planes,
         )
 
 
@@ -719,8 +720,8 @@ def score(docs: DataFrame, block_words: int = BLOCK_WORDS, repeatable: bool = Fa
 
         pdf = pdf.sort_values("part")
         ids, none, size, per_word, words, *planes = _named(_get(folder, f"block-{key[0]}"), "ids", "none", "size", "per_word", "words", *(f"plane{k}" for k in range(4)))
-        first, m = np.cumsum(size, dtype="i8") - size, int(size.sum())
-        pair = sum(np.frombuffer(pa.decompress(x, decompressed_size=m, codec="zstd"), "u1").astype("i8") << 8 * k for k, x in enumerate(planes))
+        first = np.cumsum(size, dtype="i8") - size
+        pair = sum(x.astype("i8") << 8 * k for k, x in enumerate(planes))
         counts = np.concatenate([_big(c, n)[0] for c, n in zip(pdf["counts"], pdf["n"])])
         logs = np.concatenate([_wide(x, len(x) // 5, 0, 5) for x in pdf["logs"]]) / -(2.0**POINT)
         word = np.repeat(np.arange(words[0]), _big(per_word.tobytes(), words[0])[0])[pair]
