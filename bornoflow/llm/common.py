@@ -89,3 +89,14 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_CHARS):
         total += int(n)
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns that df has none of: those given, with underscores after them where they clash."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -23,7 +23,8 @@ Hashes of equal lines have 96 bits (two functions).
 
 Defined results: a null text has no lines and stays null; an empty text keeps its empty line; rows of equal doc_id
 stand in the order of a hash of their texts, and rows that are equal in both are one document and keep the same lines;
-a null doc_id comes after all others; extra columns pass unchanged in `dedup`.
+a null doc_id comes after all others; extra columns pass unchanged in `dedup`, whatever their names, but for those of
+the two counts that it adds; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -104,19 +105,18 @@ def _near(lines: DataFrame) -> DataFrame:
     return both.where(ok).select("h").distinct()
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with `text` cut to the lines that stay, and n_lines and n_removed (longs) added."""
-    stay = first_lines(docs, min_words).groupBy("d", "t").agg(F.collect_set("n").alias("_kept"))
-    tagged = docs.drop("n_lines", "n_removed") if {"n_lines", "n_removed"} & set(docs.columns) else docs
-    names = tagged.columns
-    tagged = tagged.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn("_t", F.xxhash64("text"))
-    joined = tagged.join(stay.select(F.col("d").alias("_d"), F.col("t").alias("_t"), F.array_sort("_kept").alias("_kept")), ["_d", "_t"], "left")
-    gap = lambda x, k: x - F.when(k == 0, -1).otherwise(F.get("_kept", k - 1)) - 1
-    joined = joined.withColumn("_mask", F.flatten(F.transform("_kept", lambda x, k: F.concat(F.array_repeat(F.lit(False), gap(x, k)), F.array(F.lit(True))))))
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, counts: tuple = ("n_lines", "n_removed")) -> DataFrame:
+    """docs with `text` cut to the lines that stay, and two longs added, named by counts; columns of docs that have these names are replaced, all others pass."""
+    stay = first_lines(docs, min_words).groupBy("d", "t").agg(F.array_sort(F.collect_set("n")).alias("kept"))
+    tagged = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("d"), F.xxhash64("text").alias("t"), "text", F.struct("*").alias("row"))
+    joined = tagged.join(stay, ["d", "t"], "left")
+    gap = lambda x, k: x - F.when(k == 0, -1).otherwise(F.get("kept", k - 1)) - 1
+    joined = joined.withColumn("mask", F.flatten(F.transform("kept", lambda x, k: F.concat(F.array_repeat(F.lit(False), gap(x, k)), F.array(F.lit(True))))))
     lines = F.split("text", "\n")
     wordless = lambda x: ~x.rlike(r"[^\x20\x09-\x0D]")
-    kept = F.filter(F.transform(lines, lambda x, i: F.when(F.coalesce(F.get("_mask", i), F.lit(False)) | wordless(x), x)), lambda x: x.isNotNull())
-    done = joined.withColumn("_new", kept)
+    kept = F.filter(F.transform(lines, lambda x, i: F.when(F.coalesce(F.get("mask", i), F.lit(False)) | wordless(x), x)), lambda x: x.isNotNull())
+    done = joined.withColumn("new", kept)
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    removed = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines) - F.size("_new")).cast("long")
-    return done.select(*[F.array_join("_new", "\n").alias("text") if c == "text" else F.col(c) for c in names], n.alias("n_lines"), removed.alias("n_removed"))
+    removed = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines) - F.size("new")).cast("long")
+    passed = [F.array_join("new", "\n").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in counts]
+    return done.select(*passed, n.alias(counts[0]), removed.alias(counts[1]))

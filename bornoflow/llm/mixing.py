@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import WORD, written
 
 BUCKETS = 4096
+BROADCAST_SOURCES = 100_000  #: rows of seven numbers and a name
 WEIGHTS = (5, 2, 1)
 
 
@@ -53,16 +54,18 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, cap:
     return s.select("source", "source_size", F.least("most", F.coalesce(F.col("w") * F.col("level"), F.col("most"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 17, boundary: str = "cut", quality=letters_share) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: int = 17, boundary: str = "cut", quality=letters_share, carry: Column | None = None) -> DataFrame:
     """Per document: doc_id, source, digest (md5 of the text), size, source_size, target, epochs, part, taken.
 
     epochs: complete copies; part: words of one more copy, from its beginning; taken: epochs * size + part.
+    carry: a hash that orders rows of equal id and text; with it each row of docs comes along as `row`, a struct.
     """
+    more = [] if carry is None else [carry.alias("same"), F.struct("*").alias("row")]
     text = F.coalesce("text", F.lit(""))
     digest = F.md5(text.cast("binary"))
     hashed = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(str(seed)), digest).cast("binary"))
     u = (F.conv(F.substring(hashed, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    rows = docs.select("doc_id", "source", digest.alias("digest"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), (-F.log(u) / quality(text)).alias("key"))
+    rows = docs.select("doc_id", "source", digest.alias("digest"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), (-F.log(u) / quality(text)).alias("key"), *more)
     rows = rows.withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * BUCKETS)).cast("int"))
     rows = written(rows, "mix")
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")).checkpoint()
@@ -74,9 +77,10 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, cap: floa
     sums = sums.withColumnRenamed("source", "s")
     cut = goals.join(sums, F.col("source").eqNullSafe(F.col("s"))).where("before < rest and rest <= before + words").select("s", F.col("bucket").alias("cut"), F.col("before").alias("cut_before"))
     goals = goals.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumnRenamed("source", "s")
-    joined = rows.join(goals, F.col("source").eqNullSafe(F.col("s")))
+    few = goals.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    joined = rows.join(F.broadcast(goals) if few else goals, F.col("source").eqNullSafe(F.col("s")))
     apart = joined.where(~F.col("bucket").eqNullSafe(F.col("cut"))).withColumn("part", F.when(F.col("bucket") < F.col("cut"), F.col("size")).otherwise(0))
-    order = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_last(), "digest").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_last(), "digest", *(["same"] if more else [])).rowsBetween(Window.unboundedPreceding, -1)
     on = joined.where(F.col("bucket").eqNullSafe(F.col("cut"))).withColumn("room", F.col("rest") - F.col("cut_before") - F.coalesce(F.sum("size").over(order), F.lit(0)))
     if boundary == "cut":
         part = F.greatest(F.lit(0), F.least("size", "room"))
@@ -84,4 +88,4 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, cap: floa
         part = F.when(F.col("room") * 2 > F.col("size"), F.col("size")).otherwise(0)
     on = on.withColumn("part", part).drop("room")
     done = apart.unionByName(on)
-    return done.select("doc_id", "source", "digest", "size", "source_size", "target", "epochs", F.col("part").cast("long").alias("part"), (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"))
+    return done.select("doc_id", "source", "digest", "size", "source_size", "target", "epochs", F.col("part").cast("long").alias("part"), (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"), *(["row"] if more else []))
