@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bornoflow.llm import byte_bpe, line_dedup, mixing, quality, shingle_sets, simhash
-from bornoflow.llm.common import read, shared_dir
+from bornoflow.llm.common import fresh, read, shared_dir
 from bornoflow.llm.components import connected
 
 #: SQL can't express the learned classifier, SimHash or BPE; tests/llm/test_pipeline.py holds the stages against brute force.
@@ -16,50 +16,58 @@ ORACLE_SQL = None
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts, unchanged."""
+    """Documents that the quality classifier accepts, unchanged.
+
+    Null and empty texts are scored like others; equal texts get equal scores, so repeated rows stay or go together; a text at
+    the threshold stays; without labelled rows every score is the prior; an empty table stays empty."""
     return quality.accepted(docs, read(spark, sf_dir, "labels"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier one repeats; a document that had words and keeps none goes."""
+    """Documents without the lines that an earlier one repeats; a document that had words and keeps none goes.
+
+    Null texts stay null and empty ones empty; of lines at the same place (rows equal in id and text) all or none stay; rows of
+    null id come last; other columns pass unchanged, whatever their names; an empty table stays empty."""
     word = r"[^\x20\x09-\x0D]"
-    out = line_dedup.dedup(docs)
-    return out.where((F.col("n_removed") == 0) | F.col("text").rlike(word)).select(docs.columns)
+    n_lines, n_removed = fresh(docs, "n_lines", "n_removed")
+    out = line_dedup.dedup(docs, counts=(n_lines, n_removed))
+    return out.where((F.col(n_removed) == 0) | F.col("text").rlike(word)).select(docs.columns)
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates by op10's rule alone; documents without id stay."""
-    chosen = simhash.near_duplicates(docs).select(F.col("component_id").alias("doc_id")).where("doc_id is not null").distinct()
-    kept = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+def _identity(docs: DataFrame):
+    """A hash of a row's columns, which tells rows of equal id and text apart."""
+    return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{f.name}`"))) if f.dataType.typeName() in ("map", "variant", "void") else F.col(f"`{f.name}`") for f in docs.schema])
 
 
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near duplicates, null ids last; of rows of equal id the one of smallest text hash.
 
-    Texts are linked by fingerprints of 3 differing bits or fewer, as in op10, and by five-word shingles of Jaccard similarity 0.8 or more."""
-    rows = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "doc_id", "text")
-    prints = simhash.near_duplicates(rows.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    roots = connected(prints.unionByName(shingle_sets.links(rows.select("key", "text"))))
-    owner = rows.select("key", "doc_id").join(roots, F.col("key") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "key").alias("root"))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("x")
-    chosen = owner.groupBy("root").agg(least).select(F.col("x.doc_id").alias("_id"), F.col("x.key").alias("_key"))
-    own = docs.withColumn("_own", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = own.join(chosen, (F.col("_own") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_own"]).select(docs.columns)
+    Texts are linked by fingerprints of 3 differing bits or fewer, as in op10, and by five-word shingles of Jaccard similarity 0.8 or more.
+    Null, empty and wordless texts are one group; repeated rows leave one; rows of equal id and unlike texts all stay; columns of any
+    name pass unchanged; an empty table stays empty."""
+    rows = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "doc_id", _identity(docs).alias("same"), F.struct("*").alias("row"))
+    texts = rows.select("key", F.col("row.text").alias("text"))
+    prints = simhash.near_duplicates(texts.withColumnRenamed("key", "doc_id")).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    roots = connected(prints.unionByName(shingle_sets.links(texts)))
+    owner = rows.select("key", "doc_id", "same").join(roots, F.col("key") == F.col("node"), "left").select("key", "doc_id", "same", F.coalesce("root", "key").alias("root"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "same")).alias("x")
+    chosen = owner.groupBy("root").agg(least).select(F.col("x.key").alias("key"), F.col("x.same").alias("same"))
+    return rows.join(chosen, ["key", "same"], "left_semi").dropDuplicates(["key", "same"]).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; rows of equal id and text count as one taken more often."""
-    copies = F.sum(F.col("epochs") + (F.col("part") > 0).cast("long")).alias("_copies")
-    taken = mixing.mix(docs, boundary="whole").groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(copies).where("_copies > 0")
-    named = docs.withColumn("_md5", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).dropDuplicates(["doc_id", "_md5"])
-    joined = named.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_md5") == F.col("_digest")))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_n")).select(docs.columns)
+    """Each row as often as the mix takes it, whole; a row that it doesn't take goes.
+
+    Null and wordless texts have no words and come as often as complete epochs of their source do; rows equal in id and text
+    are ordered by a hash of their other columns, and count each; null sources are a source; an empty table stays empty."""
+    taken = mixing.mix(docs, boundary="whole", carry=_identity(docs))
+    return taken.select(F.inline(F.array_repeat("row", (F.col("epochs") + (F.col("part") > 0).cast("long")).cast("int"))))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE ids of each text: their number, and the little-endian 32-bit ids in base64."""
+    """Byte-level BPE ids of each text: their number, and the little-endian 32-bit ids in base64.
+
+    A null or empty text has no ids; rows stand for themselves, repeated or of null id; an empty table stays empty."""
     import public_tokenizers
 
     out = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -76,6 +84,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the documents of sf_dir; each stage's docstring says what becomes of nulls, ties and repeated rows."""
     docs = read(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
