@@ -108,7 +108,7 @@ def _near(lines: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, counts: tuple = ("n_lines", "n_removed")) -> DataFrame:
     """docs with `text` cut to the lines that stay, and two longs added, named by counts; columns of docs that have these names are replaced, all others pass."""
     stay = first_lines(docs, min_words).groupBy("d", "t").agg(F.array_sort(F.collect_set("n")).alias("kept"))
-    tagged = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("d"), F.xxhash64("text").alias("t"), "text", F.struct("*").alias("row"))
+    tagged = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("d"), F.xxhash64("text").alias("t"), "text", *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c != "text"))
     joined = tagged.join(stay, ["d", "t"], "left")
     gap = lambda x, k: x - F.when(k == 0, -1).otherwise(F.get("kept", k - 1)) - 1
     joined = joined.withColumn("mask", F.flatten(F.transform("kept", lambda x, k: F.concat(F.array_repeat(F.lit(False), gap(x, k)), F.array(F.lit(True))))))
@@ -118,5 +118,5 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, counts: tuple = ("n_lines
     done = joined.withColumn("new", kept)
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
     removed = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines) - F.size("new")).cast("long")
-    passed = [F.array_join("new", "\n").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in counts]
+    passed = [F.array_join("new", "\n").alias("text") if c == "text" else F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns) if c not in counts]
     return done.select(*passed, n.alias(counts[0]), removed.alias(counts[1]))
