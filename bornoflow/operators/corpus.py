@@ -70,11 +70,35 @@ def coverage(sentences: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def encode(sentences: DataFrame, vocab: DataFrame) -> DataFrame:
-    """sentences with ids: BOS, then each token's id or UNK. The vocabulary has a bounded size; the optimizer picks the join."""
-    words = sentences.select("source", "document_id", "sentence_id", F.posexplode("tokens").alias("pos", "token"))
-    ids = words.join(vocab.select("token", "token_id"), "token", "left").select("source", "document_id", "sentence_id", F.struct("pos", F.coalesce("token_id", F.lit(UNK)).alias("id")).alias("x"))
-    rows = ids.groupBy("source", "document_id", "sentence_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    return rows.select("source", "document_id", "sentence_id", F.concat(F.array(F.lit(BOS)), F.transform("xs", lambda x: x["id"])).alias("ids"))
+    """sentences with ids: BOS, then each token's id or UNK. A narrow pass without a shuffle.
+
+    The vocabulary has a bounded size (vocabulary()'s `size` rows); it is sent to the executors once, where a batch's tokens are
+    looked up together. Catalyst has no such lookup: a map's is linear, and a join would shuffle tokens twice.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rows = vocab.where(F.col("token_id") > UNK).select("token", "token_id").collect()
+    sent = sentences.sparkSession.sparkContext.broadcast(([r.token for r in rows], [r.token_id for r in rows]))
+    keys = ["source", "document_id", "sentence_id"]
+
+    def run(batches):
+        import numpy as np
+
+        words, ids = pa.array(sent.value[0], pa.string()), np.append(np.array(sent.value[1], "i4"), UNK)
+        for b in batches:
+            tokens = b.column(len(keys))
+            sizes = np.asarray(pc.list_value_length(tokens).fill_null(0), "i8")
+            found = np.asarray(pc.fill_null(pc.index_in(tokens.flatten().cast(pa.string()), value_set=words), len(words)))
+            ends = np.cumsum(sizes + 1)
+            out = np.empty(int(ends[-1]) if len(ends) else 0, "i4")
+            first = np.zeros(len(out), bool)
+            first[ends - sizes - 1] = True
+            out[first], out[~first] = BOS, ids[found]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(out))], [*keys, "ids"])
+
+    schema = ", ".join(f"`{k}` {sentences.schema[k].dataType.simpleString()}" for k in keys) + ", ids array<int>"
+    return sentences.select(*keys, "tokens").mapInArrow(run, schema)
 
 
 def ordinals(sentences: DataFrame) -> DataFrame:
@@ -90,7 +114,7 @@ def ordinals(sentences: DataFrame) -> DataFrame:
     return sentences.withColumn("place", place).join(starts, ["source", "document_id"]).withColumn("ordinal", (F.col("start") + F.col("place")).cast("long")).drop("start", "place")
 
 
-def split(sentences: DataFrame, train_start: int = 0, train_limit: int = 100, eval_start: int = 100, eval_limit: int = 50) -> DataFrame:
+def split(sentences: DataFrame, train_start: int = 0, train_limit: int = 100_000, eval_start: int = 100_000, eval_limit: int = 25_000) -> DataFrame:
     """sentences with split: 'train', 'eval' or null by ranges of their ordinal within the source."""
     o = F.col("ordinal")
     part = F.when((o >= train_start) & (o < train_start + train_limit), "train").when((o >= eval_start) & (o < eval_start + eval_limit), "eval")

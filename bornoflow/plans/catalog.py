@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import text as T
 from ..operators import corpus, lexicon, ngrams, nextword
+from .tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,12 +41,23 @@ def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.dedup_sentences(sentences(spark, sf_dir))
 
 
-VOCAB, MIN_COUNT = 2000, 3
+VOCAB, MIN_COUNT = 32_768, 3
+#: Held out for evaluation: the sentences of one document of ten. All others train.
+FOLDS = 10
 
 
-def encoded(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
-    own = kept(spark, sf_dir)
-    return corpus.encode(own if of is None else of, corpus.vocabulary(own, VOCAB, MIN_COUNT))
+def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All kept sentences in ids, worked out once."""
+    own = written(kept(spark, sf_dir), "kept")
+    return written(corpus.encode(own, corpus.vocabulary(own, VOCAB, MIN_COUNT)), "encoded")
+
+
+def folds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The encoded sentences to train on, and those held out; the vocabulary is of the former."""
+    own = written(kept(spark, sf_dir), "kept")
+    held = F.pmod("document_id", F.lit(FOLDS)) == 0
+    every = written(corpus.encode(own, corpus.vocabulary(own.where(~held), VOCAB, MIN_COUNT)), "encoded")
+    return every.where(~held), every.where(held)
 
 
 # The SQL's common parts, each a list of named steps.
@@ -61,7 +73,7 @@ kept AS (SELECT a.source, a.document_id, a.sentence_id, tokens FROM (SELECT toke
 S_VOCAB = S_KEPT + f""",
 words AS (SELECT token, count(*) AS n FROM (SELECT unnest(tokens) AS token FROM kept) GROUP BY 1 HAVING count(*) >= {MIN_COUNT}),
 vocab AS (SELECT CAST(row_number() OVER (ORDER BY n DESC, token) + 2 AS INTEGER) AS token_id, token, n AS frequency FROM (SELECT * FROM words ORDER BY n DESC, token LIMIT {VOCAB - 3}))"""
-S_ENC = S_VOCAB + """,
+S_COUNTED = """,
 enc AS (SELECT source, document_id, sentence_id, pos, coalesce(token_id, 2) AS id FROM (SELECT source, document_id, sentence_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM kept) LEFT JOIN vocab USING (token)
   UNION ALL SELECT source, document_id, sentence_id, 0, 1 FROM kept),
 g AS (SELECT source, document_id, sentence_id, pos, id, lag(id) OVER w AS p1, lag(id, 2) OVER w AS p2, lag(id, 3) OVER w AS p3 FROM enc WINDOW w AS (PARTITION BY document_id, sentence_id ORDER BY pos)),
@@ -69,6 +81,9 @@ n1 AS (SELECT id AS token_id, CAST(count(*) AS BIGINT) AS count FROM g WHERE id
 n2 AS (SELECT p1 AS c1, id AS token_id, CAST(count(*) AS BIGINT) AS count FROM g WHERE id > 2 AND p1 NOT IN (0, 2) GROUP BY ALL),
 n3 AS (SELECT p2 AS c1, p1 AS c2, id AS token_id, CAST(count(*) AS BIGINT) AS count FROM g WHERE id > 2 AND p1 NOT IN (0, 2) AND p2 NOT IN (0, 2) GROUP BY ALL),
 n4 AS (SELECT p3 AS c1, p2 AS c2, p1 AS c3, id AS token_id, CAST(count(*) AS BIGINT) AS count FROM g WHERE id > 2 AND p1 NOT IN (0, 2) AND p2 NOT IN (0, 2) AND p3 NOT IN (0, 2) GROUP BY ALL)"""
+S_ENC = S_VOCAB + S_COUNTED
+#: The same with the vocabulary and the counts of the sentences to train on, and all sentences in g.
+S_HELD = S_VOCAB.replace("FROM kept)", f"FROM kept WHERE document_id % {FOLDS} <> 0)") + S_COUNTED.replace("FROM g WHERE", f"FROM g WHERE document_id % {FOLDS} <> 0 AND")
 LOGP = "CAST(round_even(ln(greatest(least({p}, 1.0), 1e-12)) * 1e6, 0) AS BIGINT)"
 
 
@@ -286,7 +301,7 @@ def encode_tokens(spark, sf_dir):
 
 
 @query(f"""WITH {S_KEPT}, o AS (SELECT source, document_id, sentence_id, row_number() OVER (PARTITION BY source ORDER BY document_id, sentence_id) - 1 AS ordinal FROM kept)
-SELECT source, document_id, sentence_id, ordinal, CASE WHEN ordinal < 100 THEN 'train' WHEN ordinal < 150 THEN 'eval' END AS split FROM o""")
+SELECT source, document_id, sentence_id, ordinal, CASE WHEN ordinal < 100000 THEN 'train' WHEN ordinal < 125000 THEN 'eval' END AS split FROM o""")
 def source_split(spark, sf_dir):
     return corpus.split(kept(spark, sf_dir)).drop("tokens")
 
@@ -420,8 +435,8 @@ def padded_context(spark, sf_dir):
     return nextword.model_input(encoded(spark, sf_dir)).withColumn("input", F.array_join(F.col("input").cast("array<string>"), " "))
 
 
-def _ranked(spark, sf_dir, k: int = 16):
-    return {o: ngrams.top_candidates(t.withColumn("score", F.col("count")), o, k) for o, t in _tables(spark, sf_dir, 4).items()}
+def _ranked(encoded_: DataFrame, k: int = 16):
+    return {o: ngrams.top_candidates(ngrams.counts(encoded_, o).withColumn("score", F.col("count")), o, k) for o in (1, 2, 3, 4)}
 
 
 def S_RANKED(k: int = 16) -> str:
@@ -433,13 +448,17 @@ def S_RANKED(k: int = 16) -> str:
     return ",\n".join(out)
 
 
-S_LOOK = S_ENC + S_POS + ",\n" + S_RANKED() + """,
+S_LOOKED = ",\n" + S_RANKED() + """,
 ctx AS (SELECT DISTINCT c1, c2, c3 FROM pos),
 look AS (SELECT ctx.*, coalesce(a.l, []) AS a4, coalesce(b.l, []) AS a3, coalesce(c.l, []) AS a2, d.l AS a1, coalesce(a.n, []) AS m4, coalesce(b.n, []) AS m3, coalesce(c.n, []) AS m2, d.n AS m1,
   CASE WHEN ctx.c1 IS NOT NULL THEN 3 WHEN ctx.c2 IS NOT NULL THEN 2 WHEN ctx.c3 IS NOT NULL THEN 1 ELSE 0 END AS len
   FROM ctx LEFT JOIN l4 a ON a.c1 = ctx.c1 AND a.c2 = ctx.c2 AND a.c3 = ctx.c3 LEFT JOIN l3 b ON b.c1 = ctx.c2 AND b.c2 = ctx.c3 LEFT JOIN l2 c ON c.c1 = ctx.c3 CROSS JOIN l1 d)"""
 
 
+S_LOOK = S_ENC + S_POS + S_LOOKED
+S_POS_HELD = S_POS.replace("FROM g WHERE", f"FROM g WHERE document_id % {FOLDS} = 0 AND")
+
+
 def S_FILL(c4: str, c3: str, c2: str, name: str = "sug") -> str:
     return f"""f4 AS (SELECT *, a4[1:{c4}] AS o4 FROM look),
 f3 AS (SELECT *, list_concat(o4, list_filter(a3, lambda x: NOT list_contains(o4, x))[1:greatest(0, {c3} - len(o4))]) AS o3 FROM f4),
@@ -456,8 +475,9 @@ def _ids(df):
 
 
 def _suggest(spark, sf_dir, policy):
-    contexts = nextword.positions(encoded(spark, sf_dir)).select("c1", "c2", "c3").distinct()
-    return _ids(nextword.suggest(contexts, _ranked(spark, sf_dir), 10, policy))
+    e = encoded(spark, sf_dir)
+    contexts = nextword.positions(e).select("c1", "c2", "c3").distinct()
+    return _ids(nextword.suggest(contexts, _ranked(e), 10, policy))
 
 
 @query(f"WITH {S_BACKOFF} SELECT c1, c2, c3, {IDS} FROM sug")
@@ -481,10 +501,11 @@ def next_word_merge(spark, sf_dir):
 
 
 def _eval(spark, sf_dir):
-    return nextword.ranks(nextword.positions(encoded(spark, sf_dir)), _ranked(spark, sf_dir), 10)
+    train, held = folds(spark, sf_dir)
+    return nextword.ranks(nextword.positions(held), _ranked(train), 10)
 
 
-S_RANK = S_BACKOFF + """,
+S_RANK = S_HELD + S_POS_HELD + S_LOOKED + ",\n" + S_FILL("10", "10", "10") + """,
 rk AS (SELECT p.*, CASE WHEN target > 2 AND list_position(ids, target) > 0 THEN list_position(ids, target) END AS rank FROM pos p JOIN sug s ON p.c1 IS NOT DISTINCT FROM s.c1 AND p.c2 IS NOT DISTINCT FROM s.c2 AND p.c3 IS NOT DISTINCT FROM s.c3)"""
 S_METRICS = "count(*) AS all_targets, count(*) FILTER (target > 2) AS targets, count(*) FILTER (target <= 2) AS unknown_targets, " + ", ".join(f"count(*) FILTER (rank <= {k}) AS hits{k}, round(count(*) FILTER (rank <= {k}) / count(*) FILTER (target > 2), 6) AS top{k}, round(count(*) FILTER (rank <= {k}) / count(*), 6) AS top{k}_all_targets" for k in (1, 3, 5, 10)) + ", round(sum(coalesce(1.0::DOUBLE / rank, 0)) / count(*) FILTER (target > 2), 6) AS mrr"
 
@@ -509,12 +530,11 @@ def top_missed(spark, sf_dir):
     return nextword.top_missed(_eval(spark, sf_dir))
 
 
-@query(f"""WITH {S_ENC}{S_POS}, {S_RANKED(10)}, ctx AS (SELECT DISTINCT c1, c2, c3 FROM pos), f AS (SELECT ctx.*, coalesce(c.l, []) AS a2, d.l AS a1 FROM ctx LEFT JOIN l2 c ON c.c1 = ctx.c3 CROSS JOIN l1 d),
+@query(f"""WITH {S_HELD}{S_POS_HELD}, {S_RANKED(10)}, ctx AS (SELECT DISTINCT c1, c2, c3 FROM pos), f AS (SELECT ctx.*, coalesce(c.l, []) AS a2, d.l AS a1 FROM ctx LEFT JOIN l2 c ON c.c1 = ctx.c3 CROSS JOIN l1 d),
 sug AS (SELECT c1, c2, c3, list_concat(a2, list_filter(a1, lambda x: NOT list_contains(a2, x))[1:greatest(0, 10 - len(a2))]) AS ids FROM f), rk AS (SELECT p.*, CASE WHEN target > 2 AND list_position(ids, target) > 0 THEN list_position(ids, target) END AS rank FROM pos p JOIN sug s ON p.c1 IS NOT DISTINCT FROM s.c1 AND p.c2 IS NOT DISTINCT FROM s.c2 AND p.c3 IS NOT DISTINCT FROM s.c3)
 SELECT {S_METRICS}, 1 AS context_order FROM rk""")
 def context_order_probe(spark, sf_dir):
-    e = encoded(spark, sf_dir)
-    return nextword.probe(e, e, 2)
+    return nextword.probe(*folds(spark, sf_dir), 2)
 
 
 @query("""WITH t AS (SELECT conv_id AS user_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS token_id, turn, generate_subscripts(regexp_extract_all(lower(text), '\\p{L}+'), 1) AS i FROM conversations),
@@ -581,11 +601,11 @@ def personal_decay(spark, sf_dir):
     return personal.decay(personal.entries(commits(spark, sf_dir)))
 
 
-@query(f"WITH {S_COMMITS}, e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY count DESC, last_seen DESC, context_len DESC, context, token_id) AS r FROM store) SELECT user_id, context_len, context, token_id, count, last_seen FROM e WHERE r <= 50")
+@query(f"WITH {S_COMMITS}, e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY count DESC, last_seen DESC, context_len DESC, context, token_id) AS r FROM store) SELECT user_id, context_len, context, token_id, count, last_seen FROM e WHERE r <= 4096")
 def personal_evicted(spark, sf_dir):
     from ..operators import personal
 
-    return personal.evicted(personal.entries(commits(spark, sf_dir)), 50)
+    return personal.evicted(personal.entries(commits(spark, sf_dir)), 4096)
 
 
 @query(f"""WITH {S_COMMITS}, tl AS (SELECT user_id, token_id, row_number() OVER (PARTITION BY user_id ORDER BY tick DESC) AS r FROM cm),
