@@ -328,11 +328,6 @@ def render(word: str) -> str:
     return out
 
 
-@functools.lru_cache(maxsize=100_000)
-def render_cached(word: str) -> str:
-    return render(word)
-
-
 def pieces(text: str) -> list[str]:
     """The scanner's pieces of a text."""
     import regex
@@ -340,26 +335,57 @@ def pieces(text: str) -> list[str]:
     return regex.findall(r"(?:[\^:]|,,|(?<=[tT])``|[\p{Alphabetic}\p{N}])+|\.{2,}|[\s\S]", text)
 
 
+@functools.lru_cache(maxsize=4096)
 def _numeric(c: str) -> bool:
     import regex
 
     return regex.fullmatch(r"\p{N}", c) is not None
 
 
-def render_text(text: str) -> str:
-    """A text, piece by piece: words by rule, numbers in Bangla digits, a dot between numbers as it is, other signs by table."""
+@functools.cache
+def _cutter():
     import regex
 
-    word = regex.compile(r"(?:[\^:]|,,|``|[\p{Alphabetic}\p{N}])+").fullmatch
-    cut, out = pieces(text), []
-    for k, p in enumerate(cut):
-        if p == ".":
-            between = 0 < k < len(cut) - 1 and word(cut[k - 1]) and word(cut[k + 1]) and _numeric(cut[k - 1][-1]) and _numeric(cut[k + 1][0])
-            out.append("." if between else SYMBOLS["."])
-        elif word(p):
-            out.append("".join(DIGITS.get(c, c) for c in p) if all(map(_numeric, p)) else render_cached(p))
-        else:
-            out.append(SYMBOLS.get(p, p))
+    return regex.compile(r"((?:[\^:]|,,|(?<=[tT])``|[\p{Alphabetic}\p{N}])+)").split, regex.compile(r"\.{2,}|[\s\S]").findall
+
+
+def _rendered_word(word: str) -> str:
+    return "".join(DIGITS.get(c, c) for c in word) if all(map(_numeric, word)) else render(word)
+
+
+_WORDS: dict[str, str] = {}
+_GAPS: dict[str, str] = {}
+CACHED = 200_000  #: words, and runs between words, that a worker remembers; beyond that it starts anew
+
+
+def render_text(text: str) -> str:
+    """A text, piece by piece: words by rule, numbers in Bangla digits, a dot between numbers as it is, other signs by table.
+
+    Words and what stands between them are cut in one pass, and each distinct one is rendered once.
+    """
+    split, singles = _cutter()
+    out = split(text)  # between words, word, between words, ...
+    if len(_WORDS) > CACHED or len(_GAPS) > CACHED:
+        _WORDS.clear()
+        _GAPS.clear()
+    words, gaps, last = _WORDS, _GAPS, len(out) - 1
+    for k in range(0, len(out), 2):
+        gap = out[k]
+        if gap and not (gap == "." and 0 < k < last and _numeric(cut[-1]) and _numeric(out[k + 1][0])):
+            new = gaps.get(gap)
+            if new is None:
+                new = "".join(SYMBOLS.get(p, p) for p in singles(gap))
+                if len(gap) < 64:
+                    gaps[gap] = new
+            out[k] = new
+        if k < last:
+            cut = out[k + 1]
+            new = words.get(cut)
+            if new is None:
+                new = _rendered_word(cut)
+                if len(cut) < 64:
+                    words[cut] = new
+            out[k + 1] = new
     return "".join(out)
 
 

@@ -22,7 +22,7 @@ def sentence_rows(docs: DataFrame, tokens=T.latin_tokens, min_tokens: int = 2, m
 
     All within a document's arrays, so without a shuffle. Ids count from 1 and are given before dedup.
     """
-    sized = F.filter(F.transform(T.sentences(F.col(text)), tokens), lambda t: F.size(t) >= min_tokens)
+    sized = F.filter(F.transform(F.split(F.col(text), T.SENTENCE_END), tokens), lambda t: F.size(t) >= min_tokens)
     chunks = F.flatten(F.transform(sized, lambda t: F.transform(F.sequence(F.lit(0), F.ceil(F.size(t) / max_tokens).cast("int") - 1), lambda k: F.slice(t, k * max_tokens + 1, F.lit(max_tokens)))))
     kept = F.filter(chunks, lambda t: F.size(t) >= min_tokens)
     return docs.select(F.col(source).alias("source"), F.col(key).alias("document_id"), F.posexplode(kept).alias("p", "tokens")).select("source", "document_id", (F.col("p") + 1).alias("sentence_id"), "tokens")

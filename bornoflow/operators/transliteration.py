@@ -39,7 +39,7 @@ def unescaped(text: pd.Series) -> pd.Series:
 
 def strict(text: Column) -> Column:
     """Bangla, or the text as it is if it holds any character the sanitizer stops."""
-    return F.when(T.is_valid(text), rendered(text)).otherwise(text)
+    return F.coalesce(rendered(F.when(T.is_valid(text), text)), text)  # the renderer passes nulls: it only sees valid texts
 
 
 def lenient(text: Column) -> Column:
