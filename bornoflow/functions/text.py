@@ -163,14 +163,47 @@ def ends_sentence(token: Column) -> Column:
     return token.rlike(r"[।.!?][\"')\]}\s]*$")
 
 
+_NAME_END = r"(?:[\s/][^>]*)?>"
+_SKIPPED = rf"(?is)<\s*(?:[^\s/>:]*:)?(script|style){_NAME_END}.*?"
+_CLOSED = rf"<\s*/\s*(?:[^\s/>:]*:)?\1{_NAME_END}"
+#: What a page is cut into: tags, an unclosed tag to the end, what may be an entity, other text.
+HTML_PIECE = r"<[^>]*>|<[\s\S]*|&[^;]{0,32};|&|[^<&]+"
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
+
+
+def decoded_entity(name: Column) -> Column:
+    """The character of an entity's name; a space for names that aren't known and numbers that are no character."""
+    hexed = F.conv(F.nullif(F.regexp_extract(name, "^#[xX]([0-9a-fA-F]{1,8})$", 1), F.lit("")), 16, 10)
+    n = F.coalesce(hexed, F.nullif(F.regexp_extract(name, "^#([0-9]{1,10})$", 1), F.lit(""))).cast("long")
+    valid = (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    out = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(" ")
+    for known, char in ENTITIES.items():
+        out = F.when(name == known, char).otherwise(out)
+    return out
+
+
 def html_to_text(html: Column) -> Column:
-    """Script and style bodies dropped, each tag a space, the five XML entities and nbsp decoded, other named entities a space."""
-    out = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
-    out = F.regexp_replace(out, r"<[^>]*>", " ")
-    for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'")):
-        out = F.regexp_replace(out, f"&{name};", char)
-    out = F.regexp_replace(out, r"&(?!amp;|#)[A-Za-z][A-Za-z0-9]*;", " ")
-    return F.regexp_replace(out, "&amp;", "&")
+    """Script and style bodies dropped, each tag a space (an unclosed one drops the rest), entities decoded.
+
+    An ampersand takes all up to the next semicolon within 32 bytes for an entity: one of six names, a number in decimal or
+    hexadecimal, or else a space; without such a semicolon it is a space itself."""
+    out = F.regexp_replace(F.regexp_replace(html, _SKIPPED + _CLOSED, "<><>"), _SKIPPED + r"\z", "<>")
+    entity = lambda p: F.when(F.octet_length(p) <= 34, decoded_entity(F.substring(p, F.lit(2), F.length(p) - 2))).otherwise(F.concat(F.lit(" "), F.substring(p, F.lit(2), F.length(p))))
+    piece = lambda p: F.when(p.startswith("<"), F.when(p.endswith(">"), " ").otherwise("")).when(p == "&", " ").when(p.startswith("&"), entity(p)).otherwise(p)
+    return F.array_join(F.transform(F.regexp_extract_all(out, F.lit(HTML_PIECE), F.lit(0)), piece), "")
+
+
+#: Signs of a broken word: doubled vowel signs, a doubled vowel at the start, pairs that no word has.
+CORRUPT = "াা|িি|ীী|ুু|ূূ|েে|ৈৈ|োো|ৌৌ|^(?:অঅ|আআ|ইই|উউ|এএ|ওও)|ক্সজ|জন্দ্রিয়া|হাে|ুূ|ূু|িী|ীি"
+
+
+def has_corrupt_shape(word: Column) -> Column:
+    return word.rlike(CORRUPT)
+
+
+def is_personal_text(text: Column) -> Column:
+    """A word that a personal store may learn as text: at most 72 bytes of the Bengali block, without danda and taka, with a letter."""
+    return (F.octet_length(text) <= 72) & text.rlike("^[ঀ-৲৴-৿]+$") & text.rlike("[অ-হৎড়-য়]")
 
 
 def deletions(word: Column) -> Column:

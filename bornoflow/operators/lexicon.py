@@ -58,17 +58,27 @@ def statistics(lexicon: DataFrame) -> DataFrame:
     return lexicon.agg(F.count("*").alias("entries"), F.sum("frequency").alias("total_frequency"), F.max("frequency").alias("max_frequency"), F.max(F.length("word")).cast("long").alias("longest_word"))
 
 
-def curation(rows: DataFrame, loanwords: DataFrame, shape: Column, corrupt: Column, keep_from: int = 3) -> DataFrame:
-    """rows (source, word, frequency) with reason: null for what stays, else why it is quarantined.
+#: By source and frequency the longest word that a rare entry may be without other evidence.
+RARE_LENGTHS = {"epub": {1: 10, 2: 14}, "wiki": {2: 12}, "news": {2: 12}}
 
-    A word stays if its shape is clean and it is frequent enough, or another source or the loanwords have it too.
+
+def curation(rows: DataFrame, loanwords: DataFrame, valid=T.is_lexicon_word, rare_lengths: dict = RARE_LENGTHS) -> DataFrame:
+    """rows (source, word, frequency; a word once per source) with decision and reason: keep, drop or quarantine.
+
+    Words against the grammar and of a corrupt shape are dropped. Of the others those stay that are more frequent than 2, that
+    another source or the loanwords have too, or that are short enough for their source and frequency and hold no joiner.
     """
     sources = rows.groupBy("word").agg(F.count_distinct("source").alias("_sources"))
     loans = loanwords.select("word", F.lit(True).alias("_loan")).distinct()
     joined = rows.join(sources, "word").join(loans, "word", "left")
-    shared = (F.col("_sources") > 1) | F.coalesce("_loan", F.lit(False))
-    reason = F.when(corrupt, "corrupt_shape").when(shared, None).when(~shape, "unclean_shape").when(F.col("frequency") < keep_from, "low_frequency")
-    return joined.select("source", "word", "frequency", reason.alias("reason"))
+    f, fits = F.col("frequency"), F.lit(False)
+    for source, lengths in rare_lengths.items():
+        for n, longest in lengths.items():
+            fits = fits | ((F.col("source") == source) & (f == n) & (F.length("word") <= longest))
+    kept = (f > 2) | (F.col("_sources") > 1) | F.coalesce("_loan", F.lit(False)) | (fits & ~F.col("word").rlike(f"[{T.JOINER}]"))
+    reason = F.when(~valid(F.col("word")), "invalid_bangla_token").when(T.has_corrupt_shape(F.col("word")), "obvious_corruption_shape").when(~kept, "unsupported_low_frequency")
+    decision = F.when(F.col("reason").isNull(), "keep").when(F.col("reason") == "unsupported_low_frequency", "quarantine").otherwise("drop")
+    return joined.select("source", "word", "frequency", reason.alias("reason")).withColumn("decision", decision)
 
 
 def prefix_index(lexicon: DataFrame, k: int = 8, units: Column | None = None) -> DataFrame:

@@ -19,9 +19,11 @@ def bangla_skeleton(word: Column) -> Column:
 
 
 def english_key(value: Column) -> Column:
-    """A clean lower-case key of letters and digits, or null."""
-    key = F.lower(F.trim(F.regexp_replace(value, r"[\s'’.-]+", "")))
-    return F.when(key.rlike("^[a-z][a-z0-9]+$"), key)
+    """A clean lower-case key, or null: outer punctuation off, inner white space single; a letter, then up to 80 letters, spaces, dots, quotes and hyphens; no names of the language."""
+    outer = r'[.,;:()\[\]{}"“”‘’]+'
+    key = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, r"^\s+|\s+$", ""), f"^{outer}|{outer}$", ""), r"\s+", " ")
+    low = F.lower(key)
+    return F.when(key.rlike(r"^[A-Za-z][A-Za-z .'\-]{0,80}$") & ~low.isin("english", "middle english", "old english"), low)
 
 
 def direct(pairs: DataFrame, lexicon: DataFrame) -> DataFrame:

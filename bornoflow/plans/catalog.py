@@ -164,11 +164,18 @@ def symbol_map(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.symbols(F.col("text")).cast("binary")).alias("mapped"))
 
 
-TAGS = r"regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g')"
-DECODED = rf"replace(regexp_replace(replace(replace(replace(replace(replace(replace({TAGS}, '&amp;', chr(2)), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&apos;', ''''), '&[A-Za-z][A-Za-z0-9]*;', ' ', 'g'), chr(2), '&')"
+def S_SKIPPED(name: str, end: str) -> str:
+    return rf"(?is)<\s*(?:[^\s/>:]*:)?{name}(?:[\s/][^>]*)?>.*?{end}"
 
 
-@query(f"SELECT page_id, md5({DECODED}) AS digest, CAST(length({DECODED}) AS INTEGER) AS chars FROM pages")
+S_CLOSED = "|".join(S_SKIPPED(n, rf"<\s*/\s*(?:[^\s/>:]*:)?{n}(?:[\s/][^>]*)?>") for n in ("script", "style"))
+S_HTML = rf"""raw AS (SELECT page_id, unnest(p) AS p, generate_subscripts(p, 1) AS i FROM (SELECT page_id, regexp_extract_all(regexp_replace(regexp_replace(html, '{S_CLOSED}', '<><>', 'g'), '{S_SKIPPED("(?:script|style)", chr(92) + "z")}', '<>', 'g'), '<[^>]*>|<(?s:.*)|&[^;]{{0,32}};|&|[^<&]+') AS p FROM pages)),
+named AS (SELECT *, CASE WHEN p LIKE '&%;' THEN p[2:-2] END AS e, CASE WHEN regexp_matches(p, '^&#[xX][0-9a-fA-F]{{1,8}};$') THEN CAST('0x' || p[4:-2] AS BIGINT) WHEN regexp_matches(p, '^&#[0-9]{{1,10}};$') THEN CAST(p[3:-2] AS BIGINT) END AS n FROM raw),
+txt AS (SELECT page_id, string_agg(CASE WHEN p LIKE '<%>' THEN ' ' WHEN p LIKE '<%' THEN '' WHEN e IS NULL AND p = '&' THEN ' ' WHEN e IS NULL THEN p WHEN octet_length(encode(p)) > 34 THEN ' ' || p[2:]
+  WHEN e = 'amp' THEN '&' WHEN e = 'lt' THEN '<' WHEN e = 'gt' THEN '>' WHEN e = 'quot' THEN chr(34) WHEN e = 'apos' THEN chr(39) WHEN n <= 1114111 AND n NOT BETWEEN 55296 AND 57343 THEN chr(CAST(n AS INTEGER)) ELSE ' ' END, '' ORDER BY i) AS t FROM named GROUP BY 1)"""
+
+
+@query(f"WITH {S_HTML} SELECT page_id, md5(coalesce(t, '')) AS digest, CAST(length(coalesce(t, '')) AS INTEGER) AS chars FROM pages LEFT JOIN txt USING (page_id)")
 def html_to_text(spark, sf_dir):
     out = T.html_to_text(F.col("html"))
     return table(spark, sf_dir, "pages").select("page_id", out.alias("t")).select("page_id", F.md5(F.col("t").cast("binary")).alias("digest"), F.length("t").alias("chars"))
@@ -211,27 +218,42 @@ def lexicon_statistics(spark, sf_dir):
 S_CURATE = r"""src AS (SELECT source, word, count(*) AS frequency FROM (SELECT source, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents) GROUP BY ALL),
 loan AS (SELECT DISTINCT lower(unnest(regexp_extract_all(p_name, '\p{L}+'))) AS word FROM part),
 n AS (SELECT word, count(DISTINCT source) AS k FROM src GROUP BY 1),
-cur AS (SELECT src.*, CASE WHEN len(regexp_extract_all(word, 'a+')) >= 4 THEN 'corrupt_shape' WHEN k > 1 OR loan.word IS NOT NULL THEN NULL WHEN NOT regexp_matches(word, '^\p{L}{2,12}$') THEN 'unclean_shape' WHEN frequency < 3 THEN 'low_frequency' END AS reason
+cur AS (SELECT src.*, CASE WHEN NOT regexp_matches(word, '^\p{L}+$') THEN 'invalid_bangla_token' WHEN regexp_matches(word, '""" + T.CORRUPT + r"""') THEN 'obvious_corruption_shape'
+  WHEN frequency > 2 OR k > 1 OR loan.word IS NOT NULL OR (source = 'src0' AND (frequency = 2 AND length(word) <= 14 OR frequency = 1 AND length(word) <= 10)) OR (source = 'src1' AND frequency = 2 AND length(word) <= 12) THEN NULL ELSE 'unsupported_low_frequency' END AS reason
   FROM src JOIN n USING (word) LEFT JOIN loan USING (word))"""
 
 
 def _curation(spark, sf_dir):
+    """The tables' Latin words by the rule for Bangla ones, but for the grammar; two of their sources take the parts of books and wiki."""
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("source", F.explode(T.latin_tokens(F.col("text"))).alias("word")).groupBy("source", "word").agg(F.count("*").alias("frequency"))
     loans = table(spark, sf_dir, "part").select(F.explode(T.latin_tokens(F.col("p_name"))).alias("word"))
-    return lexicon.curation(rows, loans, F.col("word").rlike(r"^\p{L}{2,12}$"), F.size(F.regexp_extract_all("word", F.lit("a+"), F.lit(0))) >= 4)
+    rare = {"src0": lexicon.RARE_LENGTHS["epub"], "src1": lexicon.RARE_LENGTHS["wiki"]}
+    return lexicon.curation(rows, loans, lambda w: w.rlike(r"^\p{L}+$"), rare)
 
 
 @query(f"WITH {S_CURATE} SELECT source, word, frequency FROM cur WHERE reason IS NULL")
 def lexicon_curate_keep(spark, sf_dir):
-    return _curation(spark, sf_dir).where("reason is null").drop("reason")
+    return _curation(spark, sf_dir).where("reason is null").drop("reason", "decision")
 
 
-@query(f"WITH {S_CURATE} SELECT source, word, frequency, reason FROM cur WHERE reason IS NOT NULL")
+@query(f"WITH {S_CURATE} SELECT source, word, frequency, reason, CASE reason WHEN 'unsupported_low_frequency' THEN 'quarantine' ELSE 'drop' END AS decision FROM cur WHERE reason IS NOT NULL")
 def lexicon_quarantine(spark, sf_dir):
     return _curation(spark, sf_dir).where("reason is not null")
 
 
+S_KEYED = r"""k AS (SELECT DISTINCT l, trim(regexp_replace(regexp_replace(regexp_replace(l, '^\s+|\s+$', '', 'g'), '^[.,;:()\[\]{}"“”‘’]+|[.,;:()\[\]{}"“”‘’]+$', '', 'g'), '\s+', ' ', 'g'), '') AS key FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM conversations))"""
+
+
+@query(rf"WITH {S_KEYED} SELECT l AS line, CASE WHEN regexp_matches(key, '^[A-Za-z][A-Za-z .''\-]{{0,80}}$') AND lower(key) NOT IN ('english', 'middle english', 'old english') THEN lower(key) END AS english FROM k")
+def english_keys(spark, sf_dir):
+    """The loanword keys that the lines of conversations would be."""
+    from ..operators import loanmining
+
+    lines = table(spark, sf_dir, "conversations").select(F.explode(F.split("text", "\n")).alias("line")).distinct()
+    return lines.select("line", loanmining.english_key(F.col("line")).alias("english"))
+
+
 @query(f"""WITH {S_FREQ}, x AS (SELECT word, frequency, left(word, CAST(unnest(range(1, length(word) + 1)) AS INTEGER)) AS prefix FROM freq)
 SELECT prefix, CAST(rank AS INTEGER) AS rank, word, frequency FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY frequency DESC, word) AS rank FROM x) WHERE rank <= 8""")
 def prefix_top8(spark, sf_dir):

@@ -86,7 +86,7 @@ def test_lexicon_files(spark, tmp_path):
 def test_prose_and_markup(spark):
     assert one(spark, '{"url": "u", "content": ["b", {"x": "c"}], "title": "a"}', readers.json_prose) == "a\nb\nc"
     assert one(spark, '[{"k": "v", "n": 3}]', readers.json_prose) == "v" and one(spark, "{", readers.json_prose) is None
-    assert one(spark, "<p>a&nbsp;&lt;b&gt;</p><script>x</script>&copy;&amp;lt;", T.html_to_text) == " a <b>   &lt;"
+    assert one(spark, "<p>a&nbsp;&lt;b&gt;</p><script>x</script>&copy;&amp;lt;", T.html_to_text) == " a <b>    &lt;"
     assert one(spark, "<b>&eacute;&#65;</b>", readers.markup_text).strip() == "éA"
 
 
