@@ -203,7 +203,7 @@ def has_corrupt_shape(word: Column) -> Column:
 
 def is_personal_text(text: Column) -> Column:
     """A word that a personal store may learn as text: at most 72 bytes of the Bengali block, without danda and taka, with a letter."""
-    return (F.octet_length(text) <= 72) & text.rlike("^[ঀ-৲৴-৿]+$") & text.rlike("[অ-হৎড়-য়]")
+    return (F.octet_length(text) <= 72) & text.rlike("^[ঀ-৲৴-৿]+$") & text.rlike(r"[\x{0985}-\x{09B9}\x{09CE}\x{09DC}-\x{09DF}]")
 
 
 def deletions(word: Column) -> Column:

@@ -107,13 +107,12 @@ def complete(queries: DataFrame, lexicon: DataFrame, n: int = 8) -> DataFrame:
 
 
 def _neighbourhood(words: DataFrame, distance: int) -> DataFrame:
-    """words with key: the word and all that remains after up to `distance` deletions."""
-    rows = words.withColumn("key", F.col("word"))
-    level = rows
+    """words with key: the word and all that remains after up to `distance` deletions. Made within each row, without a shuffle."""
+    level = keys = F.array("word")
     for _ in range(distance):
-        level = level.select(*words.columns, F.explode(T.deletions(F.col("key"))).alias("key")).distinct()
-        rows = rows.unionByName(level)
-    return rows.distinct()
+        level = F.array_distinct(F.flatten(F.transform(level, T.deletions)))
+        keys = F.concat(keys, level)
+    return words.select("*", F.explode(F.array_distinct(keys)).alias("key"))
 
 
 def fuzzy_join(left: DataFrame, right: DataFrame, distance: int = 1) -> DataFrame:
@@ -134,6 +133,25 @@ def skeleton_join(left: DataFrame, right: DataFrame, skeleton=T.english_skeleton
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("left_word", "right_word", "frequency", "rank")
 
 
+def fuzzy_skeleton_join(left: DataFrame, right: DataFrame, skeleton=T.english_skeleton, k: int = 16, seeds: int | None = None) -> DataFrame:
+    """(left_word, right_word, distance, frequency, rank): words whose skeletons are within one edit, by that, frequency and word.
+
+    Skeletons meet by the deletion index: their own and each less one character; distances are verified. seeds bounds the
+    right words of a key that are looked at, in key order, for a caller that wants an answer in bounded time (None: all).
+    """
+    def keyed(df, word):
+        rows = df.withColumn("sk", skeleton(F.col("word"))).where(F.length("sk") > 0).withColumnRenamed("word", word)
+        return rows.withColumn("key", F.explode(F.array_distinct(F.concat(F.array("sk"), T.deletions(F.col("sk"))))))
+
+    a = keyed(left.select("word").distinct(), "left_word").withColumnRenamed("sk", "sk1")
+    b = keyed(right.select("word", "frequency"), "right_word")
+    if seeds is not None:
+        b = b.withColumn("_s", F.row_number().over(Window.partitionBy("key").orderBy("sk", "right_word"))).where(F.col("_s") <= seeds).drop("_s")
+    pairs = a.join(b, "key").where("left_word <> right_word").select("left_word", "right_word", "frequency", F.levenshtein("sk1", "sk", 1).alias("distance")).where("distance >= 0").distinct()
+    order = Window.partitionBy("left_word").orderBy("distance", F.desc("frequency"), "right_word")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("left_word", "right_word", "distance", "frequency", "rank")
+
+
 def loanword_table(entries: DataFrame) -> DataFrame:
     """(english, bangla, frequency): the largest frequency of equal pairs."""
     return entries.groupBy("english", "bangla").agg(F.max("frequency").alias("frequency"))

@@ -729,7 +729,8 @@ def transliterate_lenient(spark, sf_dir):
 
 
 def _roman(spark, sf_dir):
-    return lexicon.frequencies(table(spark, sf_dir, "documents"), min_frequency=2).where(F.col("word").rlike("^[a-z]+$"))
+    """All words of documents that are written in the letters a to z, as Roman input is."""
+    return lexicon.frequencies(table(spark, sf_dir, "documents")).where(F.col("word").rlike("^[a-z]+$"))
 
 
 @query()
@@ -747,14 +748,67 @@ def _bangla_lexicon(spark, sf_dir):
     return lexicon.merge_sum(rows.where(T.is_lexicon_word(F.col("word"))))
 
 
+def _suggestions(spark, sf_dir):
+    """(words, suggestions): part names' words, corrected against the lexicon of all documents and the words of parts as loanwords."""
+    from ..operators import autocorrect
+    from ..operators import transliteration as X
+
+    words = written(_part_words(spark, sf_dir).select(F.col("word").alias("roman"), X.rendered("word").alias("query"), "frequency"), "words")
+    lex = written(_bangla_lexicon(spark, sf_dir), "lexicon")
+    loans = lexicon.loanword_table(words.where(F.length("roman") >= 5).select(F.col("roman").alias("english"), F.col("query").alias("bangla"), "frequency"))
+    return words, autocorrect.suggest_roman(words, lex, loans, max_distance=2)
+
+
 @query()
 def autocorrect_suggest(spark, sf_dir):
-    """Corrections of all words of part names, against the lexicon of all documents, both in Bangla."""
+    return _suggestions(spark, sf_dir)[1]
+
+
+@query()
+def autocorrect_compose(spark, sf_dir):
     from ..operators import autocorrect
-    from ..operators import transliteration as X
 
-    queries = _part_words(spark, sf_dir).select(X.rendered("word").alias("query"))
-    return autocorrect.suggest(queries, _bangla_lexicon(spark, sf_dir), max_distance=2)
+    return autocorrect.composed(*_suggestions(spark, sf_dir))
+
+
+@query(f"""WITH {S_PART}, l AS (SELECT word, {SKELETON} AS sk FROM pw), r AS (SELECT word, frequency, {SKELETON} AS sk FROM freq),
+p AS (SELECT l.word AS left_word, r.word AS right_word, r.frequency, levenshtein({BYTES.format('l.sk')}, {BYTES.format('r.sk')}) AS d FROM l JOIN r ON abs(length(l.sk) - length(r.sk)) <= 1 AND l.word <> r.word WHERE l.sk <> '' AND r.sk <> '' AND levenshtein({BYTES.format('l.sk')}, {BYTES.format('r.sk')}) <= 1)
+SELECT left_word, right_word, CAST(d AS INTEGER) AS distance, frequency, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY left_word ORDER BY d, frequency DESC, right_word) AS rank FROM p) WHERE rank <= 16""")
+def skeleton_fuzzy_join(spark, sf_dir):
+    return lexicon.fuzzy_skeleton_join(_part_words(spark, sf_dir), lexicon.frequencies(table(spark, sf_dir, "documents")))
+
+
+@query(f"WITH {S_PART} SELECT word, coalesce(freq.frequency, 0) AS frequency FROM (SELECT word FROM pw) LEFT JOIN freq USING (word)")
+def word_frequencies(spark, sf_dir):
+    from ..operators import autocorrect
+
+    return autocorrect.word_frequency(_part_words(spark, sf_dir), lexicon.frequencies(table(spark, sf_dir, "documents")))
+
+
+@query(f"""WITH {S_ENC}, a AS (SELECT token_id, frequency FROM vocab UNION ALL VALUES (0, 0), (1, 0), (2, 0)), b AS (SELECT a.token_id, CASE WHEN a.token_id > 2 THEN greatest(coalesce(n1.count, 0.1)::DOUBLE, 0.1::DOUBLE) ELSE 0.1::DOUBLE END AS n FROM a LEFT JOIN n1 USING (token_id))
+SELECT token_id, round(ln(n / (SELECT sum(n) FROM b)), 9) AS bias FROM b""")
+def unigram_bias(spark, sf_dir):
+    from ..operators import models
+
+    own = written(kept(spark, sf_dir), "kept")
+    vocab = written(corpus.vocabulary(own, VOCAB, MIN_COUNT), "vocab")
+    bias = models.output_bias(vocab, ngrams.counts(corpus.encode(own, vocab), 1))
+    return bias.withColumn("bias", F.round("bias", 9))
+
+
+@query(f"""WITH {S_RANK}, top AS (SELECT token_id, rank FROM t1 WHERE rank <= 10), rb AS (SELECT pos.source, pos.target, top.rank FROM pos LEFT JOIN top ON target = top.token_id),
+m AS (SELECT source, {S_METRICS} FROM rk GROUP BY 1), b AS (SELECT source, {S_METRICS} FROM rb GROUP BY 1)
+SELECT m.source, m.targets, m.all_targets, {", ".join(f"m.top{k}_all_targets, round(m.top{k}_all_targets - b.top{k}_all_targets, 6) AS top{k}_gain" for k in (1, 3, 5, 10))} FROM m JOIN b USING (source)""")
+def source_gains(spark, sf_dir):
+    """What the four orders gain over unigrams alone on held-out sentences, by source."""
+    from ..operators import models
+
+    train, held = folds(spark, sf_dir)
+    ranked, at = _ranked(train), written(nextword.positions(held), "positions")
+    model = nextword.metrics(nextword.ranks(at, ranked, 10), "source")
+    plain = nextword.metrics(nextword.ranks(at, {1: ranked[1]}, 10), "source")
+    out = models.source_gains(model, plain).drop("mrr_all_targets", "mrr_gain")
+    return out.select(*[F.round(c, 6).alias(c) if c.endswith("_gain") else F.col(c) for c in out.columns])
 
 
 @query()
@@ -768,7 +822,7 @@ S_KEYS = "keys(ch, x, y) AS (VALUES " + ", ".join(f"('{c}', {i + s}::DOUBLE, {y}
 
 
 @query(rf"""WITH {S_FREQ}, {S_KEYS}, near AS (SELECT a.ch, b.ch AS near, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM keys a JOIN keys b ON a.ch <> b.ch WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 1.2),
-w AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM freq WHERE frequency >= 2 AND regexp_matches(word, '^[a-z]+$')),
+w AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM freq WHERE regexp_matches(word, '^[a-z]+$')),
 v AS (SELECT word, left(word, i - 1) || near || substr(word, i + 1) AS variant, d2 FROM w JOIN near ON near.ch = substr(word, i, 1)), m AS (SELECT word, variant, min(d2) AS d2 FROM v GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY d2, variant) AS rank FROM m) SELECT word, variant, CAST(greatest(1, round(2 * d2)) AS INTEGER) AS cost, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 64""")
 def key_slips(spark, sf_dir):
