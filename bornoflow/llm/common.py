@@ -17,14 +17,18 @@ SLICE_CHARS = 8_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="bornoflow-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+    """The folder that all executors share, from spark.checkpoint.dir, with its file system's scheme: Spark and Arrow then mean the same place.
+
+    Where that is unset, a temporary folder in local mode (tests); on a cluster an error, as executors wouldn't share it."""
+    found, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not found:
+        if sc._jsc.sc().getCheckpointDir().isEmpty():
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="bornoflow-"))
+        found = sc._jsc.sc().getCheckpointDir().get()
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def shared_uri(spark: SparkSession) -> str:
@@ -42,6 +46,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(system, own: str, name: str) -> None:
+    """Give a file its name. One that another attempt of the task has left there is the same, and stays."""
+    from pyarrow import fs
+
+    there = lambda: system.get_file_info(name).type == fs.FileType.File
+    if not there():
+        try:
+            return system.move(own, name)
+        except OSError:
+            if not there():
+                raise
+    system.delete_file(own)
+
+
 def removed(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -120,8 +120,8 @@ def probe(queries, codes, radius: int):
     return a[ok], b[ok]
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, group: int = GROUP) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each query the k nearest found, ties to the smaller vec_id."""
+def search(vectors: DataFrame, is_query: Column, k: int = 5, group: int = GROUP, recall: float = RECALL) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each query the k nearest found, ties to the smaller vec_id. recall 1 makes the radius reach all rows: exact."""
     import numpy as np
 
     spark = vectors.sparkSession
@@ -134,7 +134,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, group: int = GROUP)
     fit = np.zeros((len(sample), width))
     for i, x in enumerate(sample):
         fit[i, : len(x[0])] = x[0]
-    codes = Codes(fit, k)
+    codes = Codes(fit, k, min(recall, 1.0))
+    if recall >= 1:
+        codes.radius = codes.bits
     blocks = index(rows, codes)
     found = empty
     for ids, q in query_groups(rows.where(is_query), group):

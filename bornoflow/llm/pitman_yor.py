@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import word_hash
-from .common import discard, freed, partitions, shared_uri, slices, written
+from .common import discard, freed, partitions, settle, shared_uri, slices, written
 from .substring_dedup import _pack, _unpack as _unpack_hashes
 
 BLOCK_WORDS = 2_000_000
@@ -114,23 +114,15 @@ def _distinct(keys):
 
 
 def _put(folder: str, name: str, data: bytes) -> None:
-    """Write a file of the shared folder, packed, that any attempt of a task would write alike; one that is there stays."""
+    """Write a file of the shared folder, packed, that any attempt of a task would write alike."""
     from pyarrow import fs
 
     system, base = fs.FileSystem.from_uri(folder)
-    there = lambda: system.get_file_info(f"{base}/{name}").type == fs.FileType.File
-    if there():
-        return
     system.create_dir(base, recursive=True)
     own = f"{base}/{name}.{uuid.uuid4().hex}"
     with system.open_output_stream(own) as out:
         out.write(len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True))
-    try:
-        system.move(own, f"{base}/{name}")
-    except OSError:
-        if not there():
-            raise
-        system.delete_file(own)
+    settle(system, own, f"{base}/{name}")
 
 
 def _get(folder: str, name: str) -> bytes:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, partitions, shared_uri, slices, written
+from .common import WORD, partitions, settle, shared_uri, slices, written
 
 WINDOW = 13
 BLOCK_WORDS = 1_500_000
@@ -211,7 +211,7 @@ def _file(folder: str):
         own = f"{base}/{key[0]}.{uuid.uuid4().hex}"
         with system.open_output_stream(own) as out:
             out.write(np.packbits(bits).tobytes())
-        system.move(own, f"{base}/{key[0]}")
+        settle(system, own, f"{base}/{key[0]}")
         return pd.DataFrame({"n": [len(bits)]})
 
     return run

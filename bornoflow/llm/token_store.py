@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_uri, slices, written
+from .common import partitions, settle, shared_uri, slices, written
 
 FILE_IDS = 4_000_000
 CACHE_PIECES = 1_000_000
@@ -124,7 +124,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, file_i
             data = pack_file(doc_ids, [len(x) // 4 for x in parts], np.frombuffer(b"".join(parts), "<u4"), block)
             with system.open_output_stream(f"{name}.{task.taskAttemptId()}") as out:
                 out.write(data)
-            system.move(f"{name}.{task.taskAttemptId()}", name)
+            settle(system, f"{name}.{task.taskAttemptId()}", name)
             return pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, task.partitionId(), number, total, len(doc_ids))], ["path", "part", "number", "n_ids", "n_docs"])
 
         for whole in batches:

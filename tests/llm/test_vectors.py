@@ -83,3 +83,16 @@ def test_probe_retrieves_every_code_within_the_radius():
         a, b = multi_index.probe(codes[:40], codes, radius)
         d = np.bitwise_count(codes[:40, None] ^ codes).sum(2)
         assert set(zip(a.tolist(), b.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(d <= radius))))
+
+
+def test_multi_index_exact_and_beyond_the_sample(spark, monkeypatch):
+    """recall=1 finds just what brute force does; a fit on far fewer rows than there are still reaches 0.9."""
+    data = rows()
+    cosine = lambda a, b: float(a @ b / np.sqrt((a @ a) * (b @ b)))
+    df = spark.createDataFrame(data, SCHEMA)
+    exact = want(data, 50, 5, cosine, False)
+    got = sorted(map(tuple, multi_index.search(df, F.col("vec_id") % 50 == 0, 5, recall=1).collect()))
+    assert [x[:2] for x in got] == [x[:2] for x in exact] and np.allclose([x[3] for x in got], [x[3] for x in exact], rtol=1e-12)
+    monkeypatch.setattr(multi_index, "FIT_ROWS", 60)
+    found = {(x.query_id, x.vec_id) for x in multi_index.search(df, F.col("vec_id") % 50 == 0, 5).collect()}
+    assert len(found & {(x[0], x[2]) for x in exact}) >= 0.9 * len(exact)
