@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bornoflow.llm import byte_bpe, line_dedup, mixing, quality, shingle_sets, simhash
-from bornoflow.llm.common import fresh, read, shared_dir
+from bornoflow.llm.common import fresh, read, removed, shared_dir
 from bornoflow.llm.components import connected
 
 #: SQL can't express the learned classifier, SimHash or BPE; tests/llm/test_pipeline.py holds the stages against brute force.
@@ -92,4 +92,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if k:  # the stage before has been read for the last time
+                removed(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
