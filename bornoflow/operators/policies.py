@@ -96,6 +96,33 @@ def best(results: DataFrame) -> DataFrame:
     return results.orderBy(F.desc("hits5"), F.desc("reciprocal_ranks"), F.desc("hits1"), "policy").limit(1)
 
 
+def held_out_choice(static: DataFrame, labels: DataFrame, policies: list[UnionPolicy], held: Column) -> DataFrame:
+    """One row: the policy that is best where `held` (over labels' columns) is false, and how it does where it is true."""
+    chosen = best(grid(static, labels.where(~held), policies)).select("policy")
+    tested = grid(static, labels.where(held), policies)
+    return tested.join(F.broadcast(chosen), "policy")  # a single row
+
+
+def grid_by(static: DataFrame, labels: DataFrame, policies: list[UnionPolicy], group: str, cutoffs: tuple[int, ...] = (1, 5)) -> DataFrame:
+    """grid() per value of a column of labels, such as their source."""
+    tagged = static.join(labels.select("query", F.col(group).alias("_group")), "query").withColumn("query", F.struct("_group", "query"))
+    own = labels.select(F.struct(F.col(group).alias("_group"), "query").alias("query"), "label", group)
+    fields = list(asdict(policies[0]))
+    literal = F.array(*[F.struct(F.lit(i).alias("policy"), *[F.lit(float(v)).alias(f"_{k}") for k, v in asdict(p).items()]) for i, p in enumerate(policies)])
+    rows = tagged.withColumn("_p", F.explode(literal)).select("*", "_p.*").drop("_p")
+    order = Window.partitionBy("policy", "query").orderBy(F.desc(finite(F.col("model_score")) + _static_score({k: f"_{k}" for k in fields})), "static_rank", "token_id")
+    hit = rows.withColumn("rank", F.row_number().over(order)).join(own, "query").where(F.col("token_id") == F.col("label"))
+    sums = [F.sum(F.when(F.col("rank") <= k, 1).otherwise(0)).cast("long").alias(f"hits{k}") for k in cutoffs]
+    return hit.groupBy(group, "policy").agg(F.count("*").alias("found"), *sums, F.round(F.sum(1.0 / F.col("rank")), 6).alias("reciprocal_ranks"))
+
+
+def pool_scores(contexts: DataFrame, pools: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(query, token_id, score): of contexts (query, hidden) and pools (query, token_id) by tokens (token_id, embedding, bias): dot product and bias."""
+    rows = pools.join(tokens, "token_id").join(contexts, "query")
+    dot = F.aggregate(F.zip_with("hidden", "embedding", lambda a, b: (a * b).cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return rows.select("query", "token_id", (dot + F.col("bias")).alias("score"))
+
+
 def pool_recall(static: DataFrame, generated: DataFrame, labels: DataFrame) -> DataFrame:
     """One row: labels, and how many the static pool, the generated pool and their union hold."""
     a = static.select("query", F.col("token_id").alias("label"), F.lit(1).alias("a")).distinct()

@@ -181,3 +181,69 @@ def sentences(spark: SparkSession, path: str) -> DataFrame:
     """(source, document_id, sentence_id, tokens) of a sentence corpus in tab-separated text, plain or gz."""
     df = spark.read.schema("source string, document_id string, sentence_id int, token_count int, tokens string").csv(path, sep="\t", header=True, quote="")
     return df.select("source", "document_id", "sentence_id", F.split("tokens", " ").alias("tokens"))
+
+
+NEWS_FIELDS = ("title", "content", "category_bn", "tag")
+
+
+def news_lexicon(spark: SparkSession, path: str, fields: tuple[str, ...] = NEWS_FIELDS, min_frequency: int = 1, limit: int | None = None) -> DataFrame:
+    """(word, frequency) of chosen fields of a news file (one JSON array): strings, or the strings of lists; other values count as absent."""
+    df = spark.read.schema(", ".join(f"`{f}` string" for f in fields)).json(path, multiLine=True)
+    df = df if limit is None else df.limit(limit)
+    strings = lambda c: F.when(c.startswith("["), F.coalesce(F.transform(F.filter(F.from_json(c, "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string")), F.array(c))).when(~c.startswith("{"), F.array(c))
+    texts = df.select(F.explode(F.flatten(F.array_compact(F.array(*[strings(F.col(f"`{f}`")) for f in fields])))).alias("text"))
+    words = texts.select(F.explode(T.bangla_tokens(F.col("text"))).alias("word")).where(T.is_lexicon_word(F.col("word")))
+    return words.groupBy("word").agg(F.count("*").alias("frequency")).where(F.col("frequency") >= min_frequency)
+
+
+def _checked(df: DataFrame, *keys: str) -> DataFrame:
+    """df, failing where rows share the keys."""
+    if df.groupBy(*keys).count().where("count > 1").limit(1).count():
+        raise ValueError(f"rows of equal {', '.join(keys)}")
+    return df
+
+
+def lexicon_table(spark: SparkSession, path: str) -> DataFrame:
+    """(word, frequency) that writers.lexicon_table wrote: words are distinct, not empty, and frequencies fit 32 bits, or it fails."""
+    df = _checked(spark.read.parquet(path), "word")
+    if df.where("word is null or word = '' or frequency is null or frequency not between 0 and 4294967295").limit(1).count():
+        raise ValueError("an entry without a word, or whose frequency is out of range")
+    return df
+
+
+def loanword_table(spark: SparkSession, path: str) -> DataFrame:
+    """(english, bangla, frequency) as Parquet: pairs are distinct and keys clean, or it fails."""
+    df = _checked(spark.read.parquet(path), "english", "bangla")
+    if df.where(~F.coalesce(T.is_loanword_key(F.col("english")), F.lit(False)) | (F.coalesce("bangla", F.lit("")) == "")).limit(1).count():
+        raise ValueError("an entry whose key or value is no word")
+    return df
+
+
+#: Templates of a dictionary's etymologies that name the English word something was borrowed from.
+TEMPLATES = ("bor", "bor+", "borrowing", "der", "der+", "lbor", "translit", "uder")
+BORROWED = r"[Bb]orrowed from English ([A-Za-z][A-Za-z .'\-’]{0,80})"
+WRITTEN = r"[Tt]ransliteration of English ([A-Za-z][A-Za-z .'\-’]{0,80})"
+
+
+def dictionary_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """(english, bangla, evidence) of a dictionary in JSON lines (word, etymology_templates, etymology_text): English words by template, and by the text."""
+    schema = "word string, etymology_text string, etymology_templates array<struct<name: string, args: map<string, string>>>"
+    df = spark.read.schema(schema).json(path).select(F.trim("word").alias("bangla"), "etymology_text", "etymology_templates")
+    named = df.select("bangla", F.explode("etymology_templates").alias("t")).where(F.col("t.name").isin(*TEMPLATES) & (F.col("t.args")["2"] == "en"))
+    named = named.select(F.col("t.args")["3"].alias("english"), "bangla", F.concat(F.lit("template:"), "t.name").alias("evidence"))
+    said = [df.select(F.explode(F.regexp_extract_all("etymology_text", F.lit(p), F.lit(1))).alias("english"), "bangla", F.lit(e).alias("evidence")) for p, e in ((BORROWED, "text:borrowed"), (WRITTEN, "text:translit"))]
+    told = said[0].unionByName(said[1]).withColumn("english", F.translate("english", "’", "'"))
+    return named.unionByName(told)
+
+
+def loanword_bank(spark: SparkSession, path: str) -> DataFrame:
+    """(english, bangla, evidence) of a CSV file with columns L2_orth and L2_etym."""
+    df = spark.read.csv(path, header=True, quote='"', escape='"')
+    return df.select(F.col("L2_etym").alias("english"), F.trim("L2_orth").alias("bangla"), F.lit("bank:etym").alias("evidence"))
+
+
+def pronunciations(spark: SparkSession, path: str) -> DataFrame:
+    """(english, sounds) of a pronouncing dictionary: lines of a word, perhaps numbered in brackets, and its sounds; ;;; begins a comment."""
+    cut = F.split(F.trim("value"), r"\s+")
+    rows = spark.read.text(path).where(~F.col("value").startswith(";;;")).select(F.lower(F.regexp_replace(cut[0], r"\(\d+\)$", "")).alias("english"), F.array_join(F.slice(cut, F.lit(2), F.greatest(F.lit(0), F.size(cut) - 1)), " ").alias("sounds"))
+    return rows.where((F.col("sounds") != "") & F.col("english").rlike("^[a-z]+$"))

@@ -19,7 +19,8 @@ def lexicon_table(lexicon: DataFrame, path: str) -> None:
 
 
 def sentence_corpus(sentences: DataFrame, path: str) -> None:
-    sentences.repartition("source").sortWithinPartitions("source", "document_id", "sentence_id").write.mode("overwrite").partitionBy("source").parquet(path)
+    """A folder per source. Ranges of (source, document) are the tasks, so a large source is many files and not one task."""
+    sentences.repartitionByRange("source", "document_id").sortWithinPartitions("source", "document_id", "sentence_id").write.mode("overwrite").partitionBy("source").parquet(path)
 
 
 def ngram_tables(tables: dict[int, DataFrame], path: str) -> None:
@@ -34,8 +35,24 @@ def candidates_json(suggestions: DataFrame, path: str) -> None:
     suggestions.groupBy("query").agg(F.sort_array(F.collect_list(item)).alias("candidates")).write.mode("overwrite").json(path)
 
 
+def _tsv(rows: DataFrame, path: str, header: bool = False) -> None:
+    rows.write.mode("overwrite").csv(path, sep="\t", quote="", escape="", header=header)
+
+
 def quarantine_tsv(rows: DataFrame, path: str) -> None:
-    rows.orderBy("source", "reason", F.desc("frequency"), "word").select("source", "reason", "word", "frequency").write.mode("overwrite").csv(path, sep="\t", quote="", escape="")
+    """curation()'s rows that don't stay, by source, reason, frequency and word."""
+    _tsv(rows.where("reason is not null").orderBy("source", "reason", "frequency", "word").select("word", "frequency", "source", "decision", "reason"), path, True)
+
+
+def loanword_seed_tsv(candidates: DataFrame, path: str) -> None:
+    """Mined pairs (english, bangla, frequency, evidence) by key and word, evidence joined by commas."""
+    _tsv(candidates.orderBy("english", "bangla").select(F.col("english").alias("english_key"), F.col("bangla").alias("bangla_word"), F.col("frequency").alias("bangla_frequency"), F.array_join(F.array_sort("evidence"), ",").alias("evidence")), path, True)
+
+
+def loanword_gaps_tsv(coverage: DataFrame, path: str) -> None:
+    """Keys of coverage() (english, listed, probed) that no list has a word for, with what the probe finds."""
+    gaps = coverage.where(F.coalesce(F.size("listed"), F.lit(0)) <= 0)
+    _tsv(gaps.orderBy("english").select(F.col("english").alias("english_key"), F.coalesce(F.to_json("probed"), F.lit("[]")).alias("skeleton_candidates")), path, True)
 
 
 def manifest(values: dict, path: str) -> None:

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from bornoflow.functions import text as T
-from bornoflow.operators import autocorrect, corpus, lexicon, loanmining, models, ngrams, nextword
-from bornoflow.sources import writers
+from bornoflow.operators import autocorrect, corpus, lexicon, loanmining, models, ngrams, nextword, policies
+from bornoflow.sources import readers, writers
 
 
 @pytest.fixture(scope="module")
@@ -156,10 +156,10 @@ def test_keys_and_curation(spark):
 
 
 def test_writers_and_reports(spark, tmp_path):
-    rows = spark.createDataFrame([("s", "low", "w", 2), ("a", "low", "b", 1), ("a", "low", "c", 5)], "source string, reason string, word string, frequency long")
-    writers.quarantine_tsv(rows, str(tmp_path / "q"))
-    lines = [x for p in sorted((tmp_path / "q").glob("*.csv")) for x in p.read_text().splitlines()]
-    assert len(lines) == 3 and lines[-1].startswith("s\tlow\tw")
+    rows = spark.createDataFrame([("s", "low", "w", 2, "drop"), ("a", "low", "c", 5, "drop"), ("a", "low", "b", 1, "drop"), ("a", None, "x", 1, "keep")], "source string, reason string, word string, frequency long, decision string")
+    writers.quarantine_tsv(rows.coalesce(1), str(tmp_path / "q"))
+    lines = [x for p in sorted((tmp_path / "q").glob("*.csv")) for x in p.read_text().splitlines() if not x.startswith("word")]
+    assert lines == ["b\t1\ta\tdrop\tlow", "c\t5\ta\tdrop\tlow", "w\t2\ts\tdrop\tlow"]
     writers.candidates_json(spark.createDataFrame([("q", 2, "y"), ("q", 1, "x")], "query string, rank int, text string"), str(tmp_path / "c"))
     assert [y["text"] for y in spark.read.json(str(tmp_path / "c")).first().candidates] == ["x", "y"]
     pairs = spark.createDataFrame([("a", "b"), ("a", "a"), ("a", "b"), ("", "x")], "source string, expected string")
@@ -170,3 +170,62 @@ def test_writers_and_reports(spark, tmp_path):
     assert {x["variant"] for x in autocorrect.nasal_variants(spark.createDataFrame([("চাঁদ",)], "word string")).collect()} == {"চাদ", "চাঁদঁ"}
     ranks = spark.createDataFrame([(1, 1, 5, 0.5), (1, 1, 1, 0.4), (1, 1, 2, 0.9)], "query int, label int, token_id int, score double")
     assert nextword.competition_rank(ranks).first()["rank"] == 3
+
+
+def test_mining_inputs(spark, tmp_path):
+    import json
+
+    news = [{"title": "আমি বই পড়ি", "content": ["বই ভালো", 5], "tag": {"a": "বই"}}, {"title": None, "content": "বই"}, {"content": "[বই"}]
+    (tmp_path / "n.json").write_text(json.dumps(news, ensure_ascii=False))
+    got = {x.word: x.frequency for x in readers.news_lexicon(spark, str(tmp_path / "n.json")).collect()}
+    assert got["বই"] == 4 and got["আমি"] == 1
+    items = [
+        {"word": "টেবিল", "etymology_templates": [{"name": "bor", "args": {"1": "bn", "2": "en", "3": "table"}}, {"name": "bor", "args": {"1": "bn", "2": "fa", "3": "x"}}, {"name": "cog", "args": {"2": "en", "3": "y"}}], "etymology_text": "Borrowed from English table"},
+        {"word": "বল", "etymology_text": "transliteration of English o’ball"}, {"word": "ক"},
+    ]
+    (tmp_path / "d.jsonl").write_text("\n".join(json.dumps(x, ensure_ascii=False) for x in items))
+    pairs = readers.dictionary_pairs(spark, str(tmp_path / "d.jsonl"))
+    assert sorted(map(tuple, pairs.collect())) == [("o'ball", "বল", "text:translit"), ("table", "টেবিল", "template:bor"), ("table", "টেবিল", "text:borrowed")]
+    (tmp_path / "b.csv").write_text("L2_orth,L2_etym\nবাস,bus\n")
+    assert [tuple(x) for x in readers.loanword_bank(spark, str(tmp_path / "b.csv")).collect()] == [("bus", "বাস", "bank:etym")]
+    (tmp_path / "c.dict").write_text(";;; x\nBUS  B AH1 S\nbus(2) B AH0 S\n'TIS T\nempty\n")
+    assert sorted(map(tuple, readers.pronunciations(spark, str(tmp_path / "c.dict")).collect())) == [("bus", "B AH0 S"), ("bus", "B AH1 S")]
+    lex = spark.createDataFrame([("টেবিল", 3)], "word string, frequency long")
+    seeds = loanmining.direct(pairs.unionByName(readers.loanword_bank(spark, str(tmp_path / "b.csv"))), lex)
+    writers.loanword_seed_tsv(seeds, str(tmp_path / "seed"))
+    assert [x for p in (tmp_path / "seed").glob("*.csv") for x in p.read_text().splitlines()][1:] == ["table\tটেবিল\t3\ttemplate:bor,text:borrowed"]
+    cover = spark.createDataFrame([("a", ["ক"], ["খ"]), ("b", None, ["গ"]), ("c", None, None)], "english string, listed array<string>, probed array<string>")
+    writers.loanword_gaps_tsv(cover.coalesce(1), str(tmp_path / "gaps"))
+    assert [x for p in (tmp_path / "gaps").glob("*.csv") for x in p.read_text().splitlines() if not x.startswith("english")] == ['b\t["গ"]', "c\t[]"]
+
+
+def test_tables_are_checked(spark, tmp_path):
+    lex = spark.createDataFrame([("ক", 3), ("খ", 1)], "word string, frequency long")
+    writers.lexicon_table(lex, str(tmp_path / "l"))
+    assert readers.lexicon_table(spark, str(tmp_path / "l")).count() == 2
+    for k, bad in enumerate((lex.unionByName(lex), lex.withColumn("frequency", F.lit(-1)), lex.withColumn("word", F.lit("")).limit(1))):
+        writers.lexicon_table(bad, str(tmp_path / f"l{k}"))
+        with pytest.raises(ValueError):
+            readers.lexicon_table(spark, str(tmp_path / f"l{k}"))
+    loans = spark.createDataFrame([("bus", "বাস", 1), ("bus", "বাসা", 1)], "english string, bangla string, frequency long")
+    loans.write.parquet(str(tmp_path / "w"))
+    assert readers.loanword_table(spark, str(tmp_path / "w")).count() == 2
+    loans.withColumn("english", F.lit("a b")).write.parquet(str(tmp_path / "w2"))
+    with pytest.raises(ValueError):
+        readers.loanword_table(spark, str(tmp_path / "w2"))
+    sents = spark.createDataFrame([("s", d, 1, ["a"]) for d in range(9)] + [("t", 1, 1, ["b"])], "source string, document_id long, sentence_id int, tokens array<string>")
+    writers.sentence_corpus(sents, str(tmp_path / "s"))
+    assert spark.read.parquet(str(tmp_path / "s")).groupBy("source").count().orderBy("source").collect()[0]["count"] == 9
+
+
+def test_policies_on_held_out_labels(spark):
+    static = spark.createDataFrame([(q, t, t, 1.0 if t == q % 3 else 0.5) for q in range(12) for t in range(3)], "query int, token_id int, static_rank int, model_score double").withColumns({"count": F.lit(1), "source_order": F.lit(1)})
+    labels = spark.createDataFrame([(q, q % 3, "ab"[q % 2]) for q in range(12)], "query int, label int, source string")
+    grid = [policies.UnionPolicy(0.0, pen, 0.0, 0.0, lock) for pen, lock in ((9.0, 0), (0.01, 0), (0.01, 2))]
+    row = policies.held_out_choice(static, labels, grid, F.col("query") >= 8).first()
+    assert (row.policy, row.found, row.hits1) == (1, 4, 4)
+    by = {(x.source, x.policy): (x.found, x.hits1) for x in policies.grid_by(static, labels, grid, "source").collect()}
+    assert by["a", 1] == (6, 6) and by["b", 0] == (6, 2)
+    ctx = spark.createDataFrame([(1, [1.0, 2.0])], "query int, hidden array<double>")
+    tok = spark.createDataFrame([(5, [3.0, 4.0], 0.5), (6, [0.0, 1.0], 0.0)], "token_id int, embedding array<double>, bias double")
+    assert {(x.token_id, x.score) for x in policies.pool_scores(ctx, spark.createDataFrame([(1, 5), (1, 6)], "query int, token_id int"), tok).collect()} == {(5, 11.5), (6, 2.0)}
