@@ -13,11 +13,20 @@ MAX_CONTEXT, MAX_ENTRIES, MIN_COUNT = 3, 4096, 2
 
 
 def observations(commits: DataFrame) -> DataFrame:
-    """(user_id, tick, context_len, context, token_id): each commit under its 0 to 3 tokens before it; context is joined by spaces."""
-    own = Window.partitionBy("user_id").orderBy("tick")
+    """(user_id, tick, context_len, context, token_id): each commit under its 0 to 3 tokens before it; context is joined by spaces.
+
+    Where commits have a column `starts`, true at a sentence's first token, no context reaches back beyond that, and the first token
+    stands under the context "\\n" too, as in a session."""
+    keys_of_sentence, named = ["user_id"], "starts" in commits.columns
+    if named:
+        commits = commits.withColumn("_s", F.sum(F.col("starts").cast("int")).over(Window.partitionBy("user_id").orderBy("tick")))
+        keys_of_sentence = ["user_id", "_s"]
+    own = Window.partitionBy(*keys_of_sentence).orderBy("tick")
     back = [F.lag("token_id", k).over(own) for k in range(1, MAX_CONTEXT + 1)]
     rows = commits.select("user_id", "tick", "token_id", *[b.alias(f"b{k + 1}") for k, b in enumerate(back)])
     keys = [F.struct(F.lit(0).alias("context_len"), F.lit("").alias("context"))]
+    if named:
+        keys.append(F.when(F.col("b1").isNull(), F.struct(F.lit(0).alias("context_len"), F.lit("\n").alias("context"))))
     for k in range(1, MAX_CONTEXT + 1):
         keys.append(F.when(F.col(f"b{k}").isNotNull(), F.struct(F.lit(k).alias("context_len"), F.concat_ws(" ", *[F.col(f"b{i}").cast("string") for i in range(k, 0, -1)]).alias("context"))))
     return rows.select("user_id", "tick", F.explode(F.array_compact(F.array(*keys))).alias("x"), "token_id").select("user_id", "tick", "x.*", "token_id")

@@ -138,6 +138,52 @@ def test_personal_matches_sessions(spark, tmp_path):
             assert got[u, t] == store.suggest()
 
 
+def test_batch_entries_are_the_sessions(spark):
+    import random
+
+    from bornoflow.operators import personal
+
+    r, store, rows = random.Random(5), sessions.Store(), []
+    for t in range(200):
+        starts = t == 0 or r.random() < 0.2
+        if starts:
+            store.commit("boundary", None, t)
+        token = r.choice("abc")
+        store.commit("token", token, t)
+        rows.append((1, t, token, starts))
+    got = personal.entries(spark.createDataFrame(rows, "user_id long, tick long, token_id string, starts boolean")).collect()
+    assert {(x.context, x.token_id): [x["count"], x.last_seen] for x in got} == store.entries
+
+
+def test_session_kinds_and_repeats():
+    s = sessions.Store()
+    for t, w in enumerate("x y z x y z x y".split()):
+        s.commit("token", w, t)
+    assert s.repeated() == ["z"] and "z" not in s.suggest(9)
+    kept = s.snapshot()
+    s.commit("unknown", None, 9)
+    assert s.context == [] and not s.start and s.keys() == [""]
+    other = sessions.Store(limit=3)
+    other.commit("replace", kept, 0)
+    assert len(other.entries) == 3 and all(s.entries[k] == v for k, v in other.entries.items())
+    again = sessions.Store(s.dump())
+    assert again.dump() == s.dump()
+
+
+def test_session_list_with_the_model(spark, tmp_path):
+    rows = [(1, t, "token", w) for t, w in enumerate("a b a b a".split())] + [(1, 9, "boundary", None)]
+    df = spark.createDataFrame(rows, "user_id long, tick long, kind string, token string")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    model = spark.createDataFrame([("", ["m0", "b"]), ("a", ["m1"]), ("b a", ["m2", "b"]), ("\n", ["start"])], "context string, words array<string>")
+    shown = sessions.run(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+    q = sessions.with_model(shown, model).writeStream.format("memory").queryName("session").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    got = {x.tick: list(x.session) for x in spark.table("session").collect()}
+    assert got[0] == ["m1"] and got[4][:1] == ["m2"] and "b" not in got[4] and got[9][0] == "start"
+    assert got[1] == ["m0", "b"]
+
+
 def test_bounded_store():
     store = sessions.Store(limit=3)
     for t, w in enumerate("aabbc", 1):
