@@ -20,6 +20,7 @@ from .common import slices, written
 from .components import connected
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
+SLICE = 1_500_000  #: bytes of text whose words, hashes and shingles are held in arrays at once
 CACHED = 65_536  #: shingles that are worked on at once, so that they stay in the processor's cache
 
 
@@ -62,6 +63,14 @@ def bands(hashes, size):
     return keys.T.copy().view("i8")
 
 
+def _freed(batches):
+    """The batches, with what Arrow keeps of earlier ones given back to the system: workers live on beside others."""
+    for b in batches:
+        yield b
+        del b
+        pa.default_memory_pool().release_unused()
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of pairs (a, b) whose sets (key, own) are similar."""
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("own").alias("s")), "a").join(sets.select(F.col("key").alias("b"), F.col("own").alias("t")), "b")
@@ -76,8 +85,8 @@ def links(texts: DataFrame) -> DataFrame:
     def send(batches):
         import numpy as np
 
-        for whole in batches:
-            for x in slices(whole, 1):
+        for whole in _freed(batches):
+            for x in slices(whole, 1, SLICE):
                 h, size = shingles(x.column(1))
                 some = np.flatnonzero(size)
                 if len(some):
@@ -86,8 +95,8 @@ def links(texts: DataFrame) -> DataFrame:
     def sets_of(batches):
         import numpy as np
 
-        for whole in batches:
-            for x in slices(whole, 1):
+        for whole in _freed(batches):
+            for x in slices(whole, 1, SLICE):
                 h, size = shingles(x.column(1))
                 own = [np.unique(p).view("i8") for p in np.split(h, np.cumsum(size)[:-1])]
                 yield pa.RecordBatch.from_arrays([x.column(0), pa.array(own, pa.list_(pa.int64()))], ["key", "own"])
