@@ -6,10 +6,33 @@ evictions decides, and `streaming.sessions` is exact where `evicted` keeps the s
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 MAX_CONTEXT, MAX_ENTRIES, MIN_COUNT = 3, 4096, 2
+#: Bytes of text in a partition of users. Each word becomes four observations, some forty times its bytes in an aggregate.
+TASK_BYTES = 1 << 20
+
+
+def committed(turns: DataFrame, tokens=T.latin_tokens, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """turns (user_id, turn, text) to (user_id, tick, token_id): the words of each user's turns, ticks from 1. Equal turns are read word by word in turn.
+
+    Texts, not words, go through the one shuffle. Its partitions follow the amount of text and are set, as coalescing by shuffled
+    bytes doesn't see what the words become; all that is grouped by user stays within them.
+    """
+    size = turns.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(turns.sparkSession.sparkContext.defaultParallelism, ceil(size / task_bytes))
+    rows = turns.select("user_id", "turn", "text").repartition(parts, "user_id").select("user_id", "turn", tokens(F.col("text")).alias("ts")).where(F.size("ts") > 0)
+    merged = rows.groupBy("user_id", "turn").agg(F.collect_list("ts").alias("w"))
+    at = lambda i: F.transform(F.filter("w", lambda t: F.size(t) > i), lambda t: F.get(t, i))
+    longest = F.array_max(F.transform("w", lambda t: F.size(t)))
+    one = merged.select("user_id", "turn", F.when(F.size("w") == 1, F.get("w", F.lit(0))).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), longest - 1), at))).alias("ts"))
+    before = F.coalesce(F.sum(F.size("ts")).over(Window.partitionBy("user_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return one.withColumn("_b", before).select("user_id", "_b", F.posexplode("ts").alias("i", "token_id")).select("user_id", (F.col("_b") + F.col("i") + 1).cast("int").alias("tick"), "token_id")
 
 
 def observations(commits: DataFrame) -> DataFrame:
