@@ -31,3 +31,26 @@ def test_users_stay_in_partitions_that_follow_the_text(spark):
     old = turns.select("user_id", "turn", F.posexplode(T.latin_tokens(F.col("text"))).alias("i", "token_id"))
     old = old.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("turn", "i")).alias("tick"), "token_id")
     assert words.schema == old.schema and words.exceptAll(old).count() == 0 and words.count() == old.count()
+
+
+def test_fuzzy_join_of_a_few_words(spark):
+    from bornoflow.operators import lexicon
+
+    words = ["", "a", "ab", "abc", "bac", "abcd", "abcdefgh", "abcdxfgh", "bcdefgh", "ক", "কখ", "কখগ", None, "abc"]
+    right = spark.createDataFrame([(w,) for w in words], "word string")
+    for left in (right, right.where("word in ('abc', 'abcdefgh', 'ক')"), right.where("word is null")):
+        for d in (1, 2):
+            show = lambda few: sorted(map(tuple, lexicon.fuzzy_join(left, right, d, few).collect()))
+            assert show(256) == show(0)
+    few = lexicon.fuzzy_join(right.limit(3), spark.range(1000).select(F.repeat(F.lit("ab"), 200).alias("word")), 2)
+    assert "Generate explode(array_distinct" not in few._jdf.queryExecution().optimizedPlan().toString()  # right words of 400 letters have 80,000 deletions each
+
+
+def test_lexicon_words_are_rendered_once(spark, tmp_path):
+    from bornoflow.plans import catalog
+
+    docs = spark.createDataFrame([(1, "ami tumi ami ami bhalo"), (2, "tumi ami x")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    lex = catalog._bangla_lexicon(spark, str(tmp_path))
+    assert "rendered(" not in lex._jdf.queryExecution().optimizedPlan().toString()  # neither per token nor twice per word
+    assert {x.word: x.frequency for x in lex.collect()}["আমি"] == 4
