@@ -54,3 +54,14 @@ def test_lexicon_words_are_rendered_once(spark, tmp_path):
     lex = catalog._bangla_lexicon(spark, str(tmp_path))
     assert "rendered(" not in lex._jdf.queryExecution().optimizedPlan().toString()  # neither per token nor twice per word
     assert {x.word: x.frequency for x in lex.collect()}["আমি"] == 4
+
+
+def test_merge_counts_words_without_users(spark, tmp_path):
+    from bornoflow.plans import catalog
+
+    rows = [(1, 0, "a b c d e f"), (1, 1, "a b a b"), (2, 0, "b c b"), (3, 0, None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = catalog.personal_merge(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 3  # the users' last words, the users, and their stores; the model takes words as they are read
+    assert [x.token_id for x in got.where("user_id = 2").orderBy("rank").collect()] == ["b", "a", "c", "d", "e"]
