@@ -65,3 +65,21 @@ def test_merge_counts_words_without_users(spark, tmp_path):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 3  # the users' last words, the users, and their stores; the model takes words as they are read
     assert [x.token_id for x in got.where("user_id = 2").orderBy("rank").collect()] == ["b", "a", "c", "d", "e"]
+
+
+def test_texts_are_rendered_slice_by_slice(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from bornoflow.operators import transliteration as X
+
+    texts = pa.array(["ami banglay gan gai. " * 2000, None, ""] * 300)
+    X.rendered_array(texts.slice(0, 3))
+    tracemalloc.start()
+    got = X.rendered_array(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30e6 and got.nbytes > 30e6  # Python's own memory; Arrow's is not traced
+    assert got.to_pylist()[:3] == [X.render_text(texts[0].as_py()), None, ""] and len(got) == 900
+    assert X.rendered_array(pa.array([], pa.string())).to_pylist() == []
