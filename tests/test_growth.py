@@ -83,3 +83,18 @@ def test_texts_are_rendered_slice_by_slice(spark):
     assert most < 30e6 and got.nbytes > 30e6  # Python's own memory; Arrow's is not traced
     assert got.to_pylist()[:3] == [X.render_text(texts[0].as_py()), None, ""] and len(got) == 900
     assert X.rendered_array(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_skeletons_are_made_of_words_not_of_their_occurrences(spark):
+    from bornoflow.operators import lexicon
+
+    docs = spark.createDataFrame([("Phone fone phone schachck quick zoo cycle accept xylo",), ("fon bb",)], "text string")
+    words = lexicon.frequencies(docs)
+    for join in (lexicon.skeleton_join, lexicon.fuzzy_skeleton_join):
+        plan = join(words, words)._jdf.queryExecution().optimizedPlan().toString()
+        for line in plan.splitlines():
+            assert "sch|sh|ch" not in line or "Generate explode(array(" in line and line.count("sch|sh|ch") == 1, line
+    got = {(r.left_word, r.right_word) for r in lexicon.skeleton_join(words, words).collect()}
+    assert got == {(a, b) for a in ("phone", "fone", "fon") for b in ("phone", "fone", "fon") if a != b}
+    sk = spark.createDataFrame([(w,) for w in ("schhx", "accent", "ckphgh", "qucey", "tthh", "")], "w string").select(T.english_skeleton(F.col("w"))).collect()
+    assert [r[0] for r in sk] == ["sks", "ksnt", "kfg", "ks", "t", ""]
