@@ -55,18 +55,20 @@ def context_length() -> Column:
     return F.when(F.col("c1").isNotNull(), 3).when(F.col("c2").isNotNull(), 2).when(F.col("c3").isNotNull(), 1).otherwise(0)
 
 
-def _caps(limit: int, policy: str) -> dict[int, Column]:
-    """Cumulative caps per order; 'reserved' keeps room for lower orders."""
-    if policy != "reserved":
-        return {o: F.lit(limit) for o in (4, 3, 2, 1)}
-    n = context_length()
+def reserved_caps(limit: int) -> dict[int, list[int]]:
+    """Cumulative caps per order, by the number of words of context, that keep room for lower orders."""
     r3 = (max(8, limit // 4), max(4, limit // 8), max(2, limit // 16))
     r2 = (max(8, limit // 4), max(2, limit // 16))
     r1 = (max(2, limit // 8),)
     cap = lambda *left: max(1, limit - sum(left))
-    return {
-        4: F.lit(cap(*r3)), 3: F.when(n == 3, cap(*r3[1:])).otherwise(cap(*r2)), 2: F.when(n == 3, cap(*r3[2:])).when(n == 2, cap(*r2[1:])).otherwise(cap(*r1)), 1: F.lit(limit),
-    }
+    return {4: [cap(*r3)] * 4, 3: [cap(*r2)] * 3 + [cap(*r3[1:])], 2: [cap(*r1)] * 2 + [cap(*r2[1:]), cap(*r3[2:])], 1: [limit] * 4}
+
+
+def _caps(limit: int, policy: str) -> dict[int, Column]:
+    """Cumulative caps per order; 'reserved' keeps room for lower orders."""
+    if policy != "reserved":
+        return {o: F.lit(limit) for o in (4, 3, 2, 1)}
+    return {o: F.get(F.array(*map(F.lit, caps)), context_length()) for o, caps in reserved_caps(limit).items()}
 
 
 def suggest(contexts: DataFrame, ranked: dict[int, DataFrame], limit: int = 10, policy: str = "backoff") -> DataFrame:
@@ -103,16 +105,20 @@ def ranks(targets: DataFrame, ranked: dict[int, DataFrame], limit: int = 10, pol
     return targets.join(found, on).withColumn("rank", F.when((F.col("target") > 2) & (place > 0), place)).drop("kc1", "kc2", "kc3")
 
 
+def _weight(rows: DataFrame) -> Column:
+    return F.col("weight") if "weight" in rows.columns else F.lit(1)
+
+
 def metrics(ranked_targets: DataFrame, *groups: str, cutoffs: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
-    """Hits and reciprocal ranks, over eligible targets (known words) and over all; one row per group."""
-    known = F.col("target") > 2
-    eligible = F.sum(F.when(known, 1).otherwise(0))
-    every = F.count("*")
-    out = [every.cast("long").alias("all_targets"), eligible.cast("long").alias("targets"), F.sum(F.when(known, 0).otherwise(1)).cast("long").alias("unknown_targets")]
+    """Hits and reciprocal ranks, over eligible targets (known words) and over all; one row per group. A column `weight` says how often a row counts."""
+    known, w = F.col("target") > 2, _weight(ranked_targets)
+    eligible = F.sum(F.when(known, w).otherwise(0))
+    every = F.coalesce(F.sum(w), F.lit(0))
+    out = [every.cast("long").alias("all_targets"), eligible.cast("long").alias("targets"), F.sum(F.when(known, 0).otherwise(w)).cast("long").alias("unknown_targets")]
     for k in cutoffs:
-        hit = F.sum(F.when(F.col("rank") <= k, 1).otherwise(0))
+        hit = F.sum(F.when(F.col("rank") <= k, w).otherwise(0))
         out += [hit.cast("long").alias(f"hits{k}"), F.round(hit / F.nullif(eligible, F.lit(0)), 6).alias(f"top{k}"), F.round(hit / every, 6).alias(f"top{k}_all_targets")]
-    out.append(F.round(F.sum(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))) / F.nullif(eligible, F.lit(0)), 6).alias("mrr"))
+    out.append(F.round(F.sum(F.coalesce(w * 1.0 / F.col("rank"), F.lit(0.0))) / F.nullif(eligible, F.lit(0)), 6).alias("mrr"))
     return ranked_targets.groupBy(*groups).agg(*out) if groups else ranked_targets.agg(*out)
 
 
@@ -122,7 +128,7 @@ def with_bucket(targets: DataFrame) -> DataFrame:
 
 
 def top_missed(ranked_targets: DataFrame, limit: int = 20) -> DataFrame:
-    return ranked_targets.where("target > 2 and rank is null").groupBy(F.col("target").alias("token_id")).agg(F.count("*").alias("misses")).orderBy(F.desc("misses"), "token_id").limit(limit)
+    return ranked_targets.where("target > 2 and rank is null").groupBy(F.col("target").alias("token_id")).agg(F.sum(_weight(ranked_targets)).alias("misses")).orderBy(F.desc("misses"), "token_id").limit(limit)
 
 
 def probe(encoded_train: DataFrame, encoded_eval: DataFrame, order: int, k: int = 10) -> DataFrame:
