@@ -20,7 +20,7 @@ from .nextword import reserved_caps
 
 BITS, MASK = 15, (1 << 15) - 1
 #: Keys that a task gathers before it counts and hands them on; rows of a piece; words of text to a partition.
-GATHER, PIECE, PART_WORDS = 1 << 21, 1 << 20, 1 << 21
+GATHER, PIECE, PART_WORDS = 1 << 20, 1 << 18, 1 << 21
 
 
 def _words(batch):
